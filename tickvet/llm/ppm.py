@@ -135,8 +135,11 @@ def train(docs: DataFrame, held_out=None, per_lang: int = 300, train_bytes: int
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if held_out is not None:
         known = known.filter(~held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = known.select("lang", "doc_id", F.row_number().over(order).alias("r")).filter(F.col("r") <= per_lang)
+    # The least hashes of each of 64 parts of a language first, so that the last choice is among 64 x per_lang rows at most.
+    ids = known.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        ids = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).drop("r")
     chosen = [r[1] for r in ids.collect()]
     null = None in chosen
     wanted = F.col("doc_id").isin([i for i in chosen if i is not None]) | (F.col("doc_id").isNull() & F.lit(null))
