@@ -122,7 +122,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = keyed.withColumn("part", F.explode(parts_for(F.coalesce("doc_id", F.lit(-(1 << 63))))))
     dealt = dealt.select((F.col("part") % (1 << 30)).alias("part"), (F.col("part") < 1 << 30).alias("home"), "doc_id", "text")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", F.desc("home"), F.asc_nulls_first("doc_id"), "text")
+    return dealt.repartitionById(n, "part").sortWithinPartitions("part", F.desc("home"), F.asc_nulls_first("doc_id"), "text")
 
 
 def digest(docs: DataFrame, bins: int = 512, bits: int = 4, width: int = 5) -> DataFrame:
