@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +28,21 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() made and nothing reads any more, and let Spark drop the shuffle files of finished steps."""
+    import gc
+
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(id(table)))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
