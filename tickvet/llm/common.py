@@ -34,15 +34,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() made and nothing reads any more, and let Spark drop the shuffle files of finished steps."""
-    import gc
-
+    """Delete tables that materialize() made and nothing reads any more."""
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(id(table)))
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps: it does so when its garbage is collected."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
