@@ -58,7 +58,8 @@ class Fingerprinter:
         low = low.reshape(len(texts), self.bins)
         some = (low != _NONE).any(1)
         self._densify(low)
-        out = (mix(low) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
+        # The bin's number is mixed in, else the one value of a short text would agree by chance in all bins or none.
+        out = (mix(low ^ mix(np.arange(self.bins, dtype=np.uint64))) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
         out[~some] = 0
         return out, some
 

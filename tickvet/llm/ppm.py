@@ -36,6 +36,8 @@ class ByteTrees:
         self.map = np.ones(256, np.int64)
         self.map[seen] = np.arange(len(seen)) + 2
         a = self.size = len(seen) + 2
+        if not self.langs:
+            return
         counts = {k: [] for k in range(4)}
         for lang in self.langs:
             sym, ctx = self._contexts([np.frombuffer(t, np.uint8) for t in samples[lang] if t])
