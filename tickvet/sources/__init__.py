@@ -142,7 +142,7 @@ def parse_daily_series(payloads: DataFrame, symbol: str = "UNKNOWN") -> MarketTa
     """payloads: dataset_id, text: an object of days with numbers as strings, ascending by day after parsing."""
     series = F.from_json("text", "struct<`Time Series (Daily)`:map<string,map<string,string>>>")["Time Series (Daily)"]
     num = lambda m, k: F.try_element_at(m, F.lit(k)).try_cast("double")
-    rows = payloads.select("dataset_id", F.array_sort(F.map_entries(series)).alias("e"))
+    rows = payloads.select("dataset_id", F.transform(F.array_sort(F.map_keys(series)), lambda k: F.struct(k.alias("key"), F.try_element_at(series, k).alias("value"))).alias("e"))
 
     def bar(e):
         m = e["value"]
