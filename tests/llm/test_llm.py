@@ -198,8 +198,9 @@ def test_lines(spark, docs, texts, empty):
         s = sets(x)
         if len(s) >= 5 and any((e, m) != (d, n) and len(s & sets(y)) * 5 >= len(s | sets(y)) * 4 for e, m, y in everything[:i] if len(sets(y)) >= 5):
             gone.add((d, n))
-    for r in linejoin.dedup_lines(table, removed="removed").collect():
-        assert set(r.removed or []) == {n for d, n in gone if d == (-1 if r.doc_id is None else r.doc_id)}
+    for shard_rows in (200_000, 40):  # the latter splits words in blocks
+        for r in linejoin.dedup_lines(table, removed="removed", shard_rows=shard_rows).collect():
+            assert set(r.removed or []) == {n for d, n in gone if d == (-1 if r.doc_id is None else r.doc_id)}
     assert linejoin.dedup_lines(empty).count() == 0 and linejoin.dedup_lines(table).columns == table.columns
 
 
