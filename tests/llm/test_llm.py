@@ -267,3 +267,32 @@ def test_simhash(spark, docs, texts, empty):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == docs.count() and {r.component_id for r in rows if r.doc_id in (0, 8)} == {0} and {r.fp for r in rows if r.doc_id in (10, 11, 12)} == {0} and {r.component_id for r in rows if r.doc_id in (10, 11, 12)} == {10}
     assert simhash.near_duplicates(empty).count() == 0 and 8 not in {r.doc_id for r in simhash.keep_first(docs).collect()}
+
+
+def test_keep_first_is_exact(spark):
+    from tickvet.llm import docjoin
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(25):
+        base = words(rng, rng.randint(3, 90)).split()
+        for _ in range(6):
+            texts.append(" ".join(base))
+            base = list(base)
+            for _ in range(rng.randint(0, 2)):
+                base[rng.randrange(len(base))] = rng.choice(VOCAB)
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) * 5 >= len(a | b) * 4 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in docjoin.groups(table, shard_rows=50).collect():
+        found.setdefault(r.root, set()).add(r.key)
+    assert sorted(map(sorted, found.values())) == sorted([i for i, x in enumerate(label) if x == k] for k in set(label))
+    assert {r.doc_id for r in simhash.keep_first(table).collect()} == set(label)
+    wide = [i for i in range(1, len(texts)) if label[i] != i and (simhash.simhash(texts[i]) ^ simhash.simhash(texts[label[i]])).bit_count() > 3]
+    assert wide  # near copies that op10's 3 bits do not link

@@ -251,8 +251,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, sample_row
     return prints.join(of.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each group: the one whose id is the component's; all columns."""
-    found = near_duplicates(docs, width, radius)
-    gone = found.filter("doc_id > component_id").select("doc_id").distinct()
+def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One document of each group, the one of the least id; all columns. Groups are those of docjoin, not op10's: links of Jaccard num/den."""
+    from tickvet.llm import docjoin
+
+    found = docjoin.groups(docs, "doc_id", width, num, den)
+    least = found.groupBy("root").agg(F.min("key").alias("least"))
+    gone = materialize(found.join(least, "root").filter("key > least").select(F.col("key").alias("doc_id")).distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
