@@ -296,3 +296,17 @@ def test_keep_first_is_exact(spark):
     assert {r.doc_id for r in simhash.keep_first(table).collect()} == set(label)
     wide = [i for i in range(1, len(texts)) if label[i] != i and (simhash.simhash(texts[i]) ^ simhash.simhash(texts[label[i]])).bit_count() > 3]
     assert wide  # near copies that op10's 3 bits do not link
+
+
+def test_links_converge(spark, tmp_path):
+    from tickvet.llm.queries import QUERIES
+
+    html = lambda *hosts: "".join(f"<a href='http://{h}/x'>" for h in hosts)
+    cycle = [(i, "http://a.com/x", html("example.com")) for i in range(4)] + [(10 + i, "http://example.com/de/" if i < 3 else "http://example.com/x", html("a.com")) for i in range(20)]
+    chain = [(100 + i, f"http://h{i}.com/" if i else "http://q.org/fr/", html(f"h{i + 1}.com")) for i in range(14)]
+    spark.createDataFrame([*cycle, *chain, (200, "http://h14.com/", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in QUERIES["op3_url_link_trust"](spark, str(tmp_path)).collect()}
+    back = 0.15 / (1 - 0.85**2)  # example.com: seed 0.15; a.com has 0.85 of it
+    assert abs(got[15].distrust - back) < 2e-6 and abs(got[0].distrust - 0.85 * back) < 2e-6
+    assert got[0].distrust < back and got[0].verdict == "allow"
+    assert abs(got[200].trust - 0.85**14) < 2e-6  # 14 links from its seed

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import materialize
+from tickvet.llm.common import discard, materialize
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -62,8 +62,31 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, c
     return rank
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 8, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the host's trust and distrust (rounded to 6 digits)."""
+def converge(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, cut: int = 8) -> DataFrame:
+    """(host, rank): the fixed point of propagate(), each rank short of it by less than tolerance.
+
+    step is what a round adds. Each round adds at most damping times as much as the one before, over all hosts, so that
+    after it at most step x damping / (1 - damping) is to come; this is looked at every `cut` rounds.
+    """
+    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
+    shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")))
+    rank = materialize(seeds.select("host", F.col("seed").alias("rank"), F.col("seed").alias("step")))
+    while rank.agg(F.sum("step")).first()[0] * damping / (1 - damping) >= tolerance:
+        last = rank
+        for _ in range(cut):
+            flow = shares.join(rank.filter("step > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), F.lit(0.0).alias("rank"), (F.col("step") * F.col("w") * damping).alias("step"))
+            both = flow.unionByName(rank.select("host", "rank", F.lit(0.0).alias("step")))
+            rank = both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("step").alias("step")).select("host", (F.col("rank") + F.col("step")).alias("rank"), "step")
+        rank = materialize(rank)
+        discard(last)
+    return rank.select("host", "rank")
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int | None = 8, threshold: float = 0.5, tolerance: float = 1e-8) -> DataFrame:
+    """page_id, host, path, rule, verdict, and the host's trust and distrust (rounded to 6 digits).
+
+    rounds: as many rounds as judge_sql() has; None: as many as it takes until ranks are within tolerance.
+    """
     host, path = host_path(F.col("url"))
     judged = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path")).withColumn("r", best_rule(F.col("host"), F.col("path"), rules))
     share = lambda verdict: F.sum((F.coalesce(F.col("r.verdict"), F.lit("")) == verdict).cast("double")) / F.count("*")
@@ -71,8 +94,9 @@ def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 8,
     edges = materialize(host_edges(pages))
     good, bad = hosts.select("host", F.col("allow").alias("seed")), hosts.select("host", F.col("block").alias("seed"))
     if not edges.isEmpty():
-        good = propagate(good, edges, damping, rounds).withColumnRenamed("rank", "seed")
-        bad = propagate(bad, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), damping, rounds).withColumnRenamed("rank", "seed")
+        spread = (lambda seeds, links: converge(seeds, links, damping, tolerance)) if rounds is None else (lambda seeds, links: propagate(seeds, links, damping, rounds))
+        good = spread(good, edges).withColumnRenamed("rank", "seed")
+        bad = spread(bad, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).withColumnRenamed("rank", "seed")
     ranks = good.withColumnRenamed("seed", "trust").join(bad.withColumnRenamed("seed", "distrust"), "host", "full")
     ranks = materialize(ranks.select("host", F.round(F.coalesce("trust", F.lit(0.0)), 6).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 6).alias("distrust")))
     by_host = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")

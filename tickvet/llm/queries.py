@@ -29,7 +29,7 @@ def op2(spark, sf_dir):
 
 
 def op3(spark, sf_dir):
-    return linkrank.judge(_table(spark, sf_dir, "pages"))
+    return linkrank.judge(_table(spark, sf_dir, "pages"), rounds=None)
 
 
 def op4(spark, sf_dir):
