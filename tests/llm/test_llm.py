@@ -310,3 +310,23 @@ def test_links_converge(spark, tmp_path):
     assert abs(got[15].distrust - back) < 2e-6 and abs(got[0].distrust - 0.85 * back) < 2e-6
     assert got[0].distrust < back and got[0].verdict == "allow"
     assert abs(got[200].trust - 0.85**14) < 2e-6  # 14 links from its seed
+
+
+def test_short_lines(spark):
+    import corpus_pipeline
+
+    lines = ["All rights reserved.", "les.", "Les.", "one two three four", "one two three four five", "one two three", "", "all  rights\treserved.", "a b c d", "d c b a e", "e"]
+    rng = random.Random(4)
+    rows = [(i, "\n".join(rng.choices(lines, k=4)), 0) for i in range(30)]
+    sets = lambda x: set(re.split(r"[ \t\r]+", x.lower())) - {""}
+    before, want = [], {}
+    for d, t, _ in rows:
+        kept = []
+        for x in t.split("\n"):
+            s = sets(x)
+            if not s or not any(len(s & y) * 5 >= len(s | y) * 4 for y in before):
+                kept.append(x)
+            before += [s] if s else []
+        want[d] = "\n".join(kept)
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()
+    assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
