@@ -330,3 +330,11 @@ def test_short_lines(spark):
         want[d] = "\n".join(kept)
     got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()
     assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_keep_first_by_row(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 30) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (1, c), (None, d), (None, d), (4, ""), (None, None)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (3, b), (1, c), (None, d), (4, "")]))

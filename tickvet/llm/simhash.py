@@ -252,10 +252,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, sample_row
 
 
 def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One document of each group, the one of the least id; all columns. Groups are those of docjoin, not op10's: links of Jaccard num/den."""
-    from tickvet.llm import docjoin
+    """Exactly one row of each group, that of the least id (of equal ids any, null ids last); all columns.
 
-    found = docjoin.groups(docs, "doc_id", width, num, den)
-    least = found.groupBy("root").agg(F.min("key").alias("least"))
-    gone = materialize(found.join(least, "root").filter("key > least").select(F.col("key").alias("doc_id")).distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Groups are those of docjoin, not op10's: links of Jaccard num/den. Rows are told apart by a number of their own, so
+    repeated and null ids are rows like others.
+    """
+    from tickvet.llm import docjoin
+    from tickvet.llm.linejoin import bitmap, maybe_in
+
+    row = "row_" + "_".join(docs.columns)  # no column's name
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = docjoin.groups(numbered, row, width, num, den)
+    ids = numbered.select(F.col(row).alias("key"), F.col("doc_id").cast("long").alias("id"))
+    placed = found.join(ids, "key").select("key", "root", F.struct(F.col("id").isNull(), "id", "key").alias("place"))
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    gone = materialize(placed.join(first, "root").filter("place <> first").select(F.col("key").alias(row)))
+    # Only rows that may go are shuffled with their texts.
+    near = maybe_in(bitmap(gone, row), F.col(row))
+    stay = numbered.filter(near).join(gone, row, "left_anti")
+    return numbered.filter(~near).select(*docs.columns).unionByName(stay.select(*docs.columns))
