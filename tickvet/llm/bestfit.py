@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import bounded_batches, materialize, slices
+from tickvet.llm.common import materialize, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -93,7 +93,6 @@ def _encoder(tokenizer_file: str):
 
 def tokenize(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
-    bounded_batches(docs.sparkSession)
 
     def each(batches):
         encode = _encoder(tokenizer_file)

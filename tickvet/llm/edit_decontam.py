@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import bounded_batches, slices
+from tickvet.llm.common import slices
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -114,7 +114,6 @@ def blocks_of(benchmark: DataFrame, block_chars: int):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, per_error: int = 20, block_chars: int = 16_000_000) -> DataFrame:
     """doc_id, item_id, distance, match_start, match_end (in the normal text) of each document and item in it."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     schema = "doc_id long, item_id long, distance int, match_start long, match_end long"
     parts = []
     for block in blocks_of(benchmark, block_chars):
@@ -138,7 +137,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, per_error: int = 20, block
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, per_error: int = 20, block_chars: int = 16_000_000) -> DataFrame:
     """The documents in which no item was found, all their columns; the text is judged where it lies, without a shuffle."""
-    bounded_batches(docs.sparkSession)
     out = docs
     for block in blocks_of(benchmark, block_chars):
         held = docs.sparkSession.sparkContext.broadcast([t for _, t in block])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import bounded_batches, crc_fold, gapped_pairs, materialize, slices, text_bytes, word_hashes
+from tickvet.llm.common import crc_fold, gapped_pairs, materialize, slices, text_bytes, word_hashes
 
 
 def features(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +51,6 @@ class Ftrl:
 def train(docs: DataFrame, labels: DataFrame, held_out=None, dim: int = 1 << 20, train_rows: int = 12_000, updates: int = 36_000, **ftrl) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, weight) of the nonzero weights; bucket -1 is the intercept."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
     if held_out is not None:
         known = known.filter(~held_out)
@@ -91,7 +90,6 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, dim: int = 1 << 20,
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], dim: int = 1 << 20) -> DataFrame:
     """doc_id, score of whole texts."""
-    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import bounded_batches, gapped_pairs, materialize, mix, slices, text_bytes, word_hashes
+from tickvet.llm.common import gapped_pairs, materialize, mix, slices, text_bytes, word_hashes
 
 
 def _features(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +34,6 @@ def _features(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, dim: int = 10_000, target_rows: int = 20_000) -> np.ndarray:
     """log(p_target / p_raw) of each bucket, with add-one smoothing."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).collect()
     ids = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in chosen], np.int64)))
@@ -62,7 +61,6 @@ def fit(docs: DataFrame, labels: DataFrame, dim: int = 10_000, target_rows: int
 def score(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
     """doc_id, n_features, log_weight, gumbel_key of each document."""
     model, dim = docs.sparkSession.sparkContext.broadcast(ratio), len(ratio)
-    bounded_batches(docs.sparkSession)
 
     def each(batches):
         for batch in slices(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import bounded_batches, joined_bytes, mix, shuffle_partitions, word_hashes, word_shingles
+from tickvet.llm.common import joined_bytes, mix, shuffle_partitions, word_hashes, word_shingles
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -78,7 +78,6 @@ class Fingerprinter:
 
 def fingerprints(docs: DataFrame, bins: int = 512, bits: int = 4, width: int = 5) -> DataFrame:
     """doc_id and the packed fingerprint of every document."""
-    bounded_batches(docs.sparkSession)
 
     def each(batches):
         printer = Fingerprinter(bins, bits, width)
@@ -131,7 +130,6 @@ def digest(docs: DataFrame, bins: int = 512, bits: int = 4, width: int = 5) -> D
 
     The edited text has the last quarter of the code points replaced by as many first ones of the next document.
     """
-    bounded_batches(docs.sparkSession)
 
     def each(batches):
         printer = Fingerprinter(bins, bits, width)

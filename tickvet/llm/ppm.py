@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import bounded_batches, crc_fold, slices, text_bytes
+from tickvet.llm.common import crc_fold, slices, text_bytes
 
 
 class ByteTrees:
@@ -155,7 +155,6 @@ def train(docs: DataFrame, held_out=None, per_lang: int = 300, train_bytes: int
 
 def identify(docs: DataFrame, trees: ByteTrees) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of whole texts."""
-    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def each(batches):
@@ -168,7 +167,6 @@ def identify(docs: DataFrame, trees: ByteTrees) -> DataFrame:
 
 def reject_foreign(docs: DataFrame, trees: ByteTrees, most_bits: float = 7.0) -> DataFrame:
     """Documents in some learned language, all columns; those without letters or that no model can compress below most_bits a byte go."""
-    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def each(batches):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import bounded_batches, materialize, shuffle_partitions, slices
+from tickvet.llm.common import materialize, shuffle_partitions, slices
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -51,7 +51,6 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every document."""
-    bounded_batches(docs.sparkSession)
 
     def each(batches):
         for batch in slices(batches):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import bounded_batches, slices
+from tickvet.llm.common import slices
 
 MARK = "▁"
 
@@ -102,7 +102,6 @@ def _counter(model_file: str) -> UnigramCounter:
 
 def count_tokens(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens, score. model_file: path of a sentencepiece vocabulary that every executor can read."""
-    bounded_batches(docs.sparkSession)
 
     def each(batches):
         counter = _counter(model_file)
