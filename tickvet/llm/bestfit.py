@@ -73,7 +73,6 @@ def _encoder(tokenizer_file: str):
 
     spec = json.load(open(tokenizer_file, encoding="utf-8"))
     plain = Tokenizer.from_file(tokenizer_file)
-    plain.encode_special_tokens = True  # their strings in a text are ordinary text
     slow = lambda text: plain.encode(text, add_special_tokens=False).ids
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     if model["type"] != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
@@ -81,14 +80,18 @@ def _encoder(tokenizer_file: str):
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in printable}
     back |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    added = spec.get("added_tokens", [])  # their strings in a text are cut out first, each being one id
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return slow
+    special = {t["content"]: t["id"] for t in added}
     ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
     merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
     order = [model["vocab"][m.replace(" ", "", 1)] for m in merged]
     if order != sorted(order) or len(ranks) != len(merged) + 256:  # ids must be the merges' ranks
         return slow
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of byte-level pre-tokenizers
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: own.encode(text, allowed_special="all", disallowed_special=())
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 2) -> DataFrame:

@@ -4,12 +4,12 @@ Features of a text are the distinct hashes of its words, neighbouring pairs and
 has its own learning rate, and the L1 term keeps most weights at exactly 0, so that the model is a short list of
 (bucket, weight) that is broadcast whatever the corpus.
 
-Bounds: trained on at most `train_rows` labelled documents (least hash of id), in some 3 to 60 passes (about `updates` steps)
-in a fixed order in one task; at most `dim` weights. Scoring reads whole texts of all documents.
+Bounds: trained on at most `train_rows` labelled documents (least hash of id), in `passes` passes in a fixed order in one
+task; at most `dim` weights. Scoring reads whole texts of all documents.
 
 Edge cases: a null or empty text has no features and the score of the intercept; rows with null labels or ids are not
-learned from; of contradictory labels of one id the larger counts; with no training rows every score is 0.5; repeated
-documents count each in training and score alike; other columns are ignored.
+learned from; of contradictory labels of one id the larger counts, and of several texts of one id one (the least features as bytes);
+with no training rows every score is 0.5; repeated documents score alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import crc_fold, gapped_pairs, materialize, slices, text_bytes, word_hashes
+from tickvet.llm.common import crc_fold, discard, gapped_pairs, materialize, slices, text_bytes, word_hashes
 
 
 def features(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +48,7 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(self.n[at]) - root) / self.alpha * w
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out=None, dim: int = 1 << 20, train_rows: int = 12_000, updates: int = 36_000, **ftrl) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, held_out=None, dim: int = 1 << 20, train_rows: int = 12_000, passes: int = 8, **ftrl) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, weight) of the nonzero weights; bucket -1 is the intercept."""
     spark = docs.sparkSession
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
@@ -69,15 +69,15 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, dim: int = 1 << 20,
                 per_row = np.split(bucket[fresh].astype(np.int32), np.cumsum(np.bincount(row[fresh], minlength=part.num_rows))[:-1])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([b.tobytes() for b in per_row], pa.binary())], ["doc_id", "buckets"])
 
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pick, "doc_id long, buckets binary"))
+    picked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pick, "doc_id long, buckets binary")
+    rows = materialize(picked.groupBy("doc_id").agg(F.min("buckets").alias("buckets")))
 
     def learn(batches):
         model, data = Ftrl(dim, **ftrl), []
         for batch in batches:
             for doc_id, b in zip(batch.column("doc_id").to_pylist(), batch.column("buckets").to_pylist(), strict=True):
-                if len(data) < 2 * train_rows:
-                    data.append((np.frombuffer(b, np.int32), held.value[doc_id]))
-        for epoch in range(min(60, max(3, updates // len(data))) if data else 0):
+                data.append((np.frombuffer(b, np.int32), held.value[doc_id]))
+        for epoch in range(passes):
             for i in np.random.default_rng(epoch).permutation(len(data)):
                 model.learn(np.concatenate([[0], data[i][0] + 1]), data[i][1])
         w = model.weights()
@@ -85,6 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, dim: int = 1 << 20,
         yield pa.RecordBatch.from_arrays([pa.array(some - 1, pa.int64()), pa.array(w[some])], ["bucket", "weight"])
 
     got = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "buckets").mapInArrow(learn, "bucket long, weight double").collect()
+    discard(rows)
     return np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float)
 
 

@@ -50,20 +50,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.withColumn("dst", ascii_lower(F.col("dst"))).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, cut: int = 4) -> DataFrame:
-    """(host, rank): r = seed + damping x W^T r after `rounds` rounds, W being the edges' shares by source; seeds: (host, seed)."""
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")))
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for i in range(1, rounds + 1):
-        flow = shares.join(rank.filter("rank > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("rank") * F.col("w") * damping).alias("rank"))
-        rank = flow.unionByName(seeds.select("host", F.col("seed").alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        rank = materialize(rank) if i % cut == 0 and i < rounds else rank
-    return rank
-
-
 def converge(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, cut: int = 8) -> DataFrame:
-    """(host, rank): the fixed point of propagate(), each rank short of it by less than tolerance.
+    """(host, rank): r = seed + damping x W^T r, W being the edges' shares by source; each rank short of it by less than tolerance. seeds: (host, seed).
 
     step is what a round adds. Each round adds at most damping times as much as the one before, over all hosts, so that
     after it at most step x damping / (1 - damping) is to come; this is looked at every `cut` rounds.
@@ -82,11 +70,8 @@ def converge(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: floa
     return rank.select("host", "rank")
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int | None = 8, threshold: float = 0.5, tolerance: float = 1e-8) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the host's trust and distrust (rounded to 6 digits).
-
-    rounds: as many rounds as judge_sql() has; None: as many as it takes until ranks are within tolerance.
-    """
+def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-8) -> DataFrame:
+    """page_id, host, path, rule, verdict, and the host's trust and distrust (rounded to 6 digits)."""
     host, path = host_path(F.col("url"))
     judged = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path")).withColumn("r", best_rule(F.col("host"), F.col("path"), rules))
     share = lambda verdict: F.sum((F.coalesce(F.col("r.verdict"), F.lit("")) == verdict).cast("double")) / F.count("*")
@@ -94,17 +79,16 @@ def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int | No
     edges = materialize(host_edges(pages))
     good, bad = hosts.select("host", F.col("allow").alias("seed")), hosts.select("host", F.col("block").alias("seed"))
     if not edges.isEmpty():
-        spread = (lambda seeds, links: converge(seeds, links, damping, tolerance)) if rounds is None else (lambda seeds, links: propagate(seeds, links, damping, rounds))
-        good = spread(good, edges).withColumnRenamed("rank", "seed")
-        bad = spread(bad, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).withColumnRenamed("rank", "seed")
+        good = converge(good, edges, damping, tolerance).withColumnRenamed("rank", "seed")
+        bad = converge(bad, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), damping, tolerance).withColumnRenamed("rank", "seed")
     ranks = good.withColumnRenamed("seed", "trust").join(bad.withColumnRenamed("seed", "distrust"), "host", "full")
     ranks = materialize(ranks.select("host", F.round(F.coalesce("trust", F.lit(0.0)), 6).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 6).alias("distrust")))
     by_host = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return judged.join(ranks, "host", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", by_host).alias("verdict"), "trust", "distrust")
 
 
-def judge_sql(rules=RULES, damping: float = 0.85, rounds: int = 8, threshold: float = 0.5) -> str:
-    """The same for DuckDB over a view `pages`."""
+def judge_sql(rules=RULES, damping: float = 0.85, rounds: int = 200, threshold: float = 0.5) -> str:
+    """The same for DuckDB over a view `pages`; after 200 rounds 1e-14 of the mass is to come."""
     fits = lambda r: f"((host = '{r[1].partition('/')[0]}' OR ends_with(host, '.{r[1].partition('/')[0]}')) AND starts_with(path, '/{r[1].partition('/')[2]}'))"
     longest = sorted(rules, key=lambda r: -len(r[1]))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[1]}'" for r in longest) + " END"
@@ -113,15 +97,13 @@ def judge_sql(rules=RULES, damping: float = 0.85, rounds: int = 8, threshold: fl
     steps = []
     for kind, seed, a, b in (("t", "allow", "src", "dst"), ("d", "block", "dst", "src")):
         steps.append(f"{kind}w AS (SELECT {a} AS src, {b} AS dst, n / sum(n) OVER (PARTITION BY {a}) AS w FROM edges)")
-        steps.append(f"{kind}0 AS (SELECT host, {seed} AS rank FROM hosts)")
-        for i in range(1, rounds + 1):
-            steps.append(f"{kind}{i} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (SELECT host, {seed} AS rank FROM hosts UNION ALL SELECT dst, rank * w * {damping} FROM {kind}{i - 1} JOIN {kind}w ON host = src) GROUP BY host)")
-    return f"""WITH parts AS (SELECT page_id, html, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+        steps.append(f"{kind} AS (SELECT host, {seed} AS step, 0 AS i FROM hosts WHERE {seed} > 0 UNION ALL SELECT dst, sum(step * w * {damping}), i + 1 FROM {kind} JOIN {kind}w ON host = src WHERE i < {rounds} GROUP BY dst, i)")
+    return f"""WITH RECURSIVE parts AS (SELECT page_id, html, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
 cut AS (SELECT page_id, html, {lower(r"regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
 judged AS (SELECT page_id, html, host, path, {rule} AS rule, {verdict} AS verdict FROM cut),
 hosts AS MATERIALIZED (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS allow, avg(CASE WHEN verdict = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS block FROM judged GROUP BY host),
 hrefs AS (SELECT host AS src, {lower('dst')} AS dst FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s>]+)', 1))) AS dst FROM judged)),
 edges AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS n FROM hrefs WHERE src <> dst GROUP BY src, dst),
 {", ".join(steps)},
-ranks AS (SELECT host, round(coalesce(t.rank, 0), 6) AS trust, round(coalesce(d.rank, 0), 6) AS distrust FROM t{rounds} t FULL JOIN d{rounds} d USING (host))
+ranks AS (SELECT host, round(coalesce(g.rank, 0), 6) AS trust, round(coalesce(b.rank, 0), 6) AS distrust FROM hosts LEFT JOIN (SELECT host, sum(step) AS rank FROM t GROUP BY host) g USING (host) LEFT JOIN (SELECT host, sum(step) AS rank FROM d GROUP BY host) b USING (host))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust >= {threshold} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust FROM judged LEFT JOIN ranks USING (host)"""

@@ -7,9 +7,8 @@ depends only on the last bytes and the byte itself, so it is tabulated once, exa
 The language with the shortest code wins (ties: first in alphabetical order); the score is its posterior under equal
 priors, 2^-bits normalised over the languages.
 
-Bounds: a language's tree is fitted on at most `per_lang` documents (least hash of id), of each at most the first
-`train_bytes` bytes; contexts of full order seen once are dropped; tables take at most some tens of MB. Scoring reads
-whole texts.
+Bounds: a language's tree is fitted on at most `per_lang` whole documents (least hash of id), counted a few at a time. Scoring
+reads whole texts. Tables have a row for each context of some language, with a 4-byte code length for each symbol and language.
 
 Edge cases: a null text or one without letters is `und` with score 0; null lang is not learned from; a null id is folded
 as the empty string; with no training rows everything is `und`; repeated rows have equal results; other columns are
@@ -18,6 +17,9 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,32 +27,34 @@ from pyspark.sql import functions as F
 
 from tickvet.llm.common import crc_fold, slices, text_bytes
 
+MOST_BYTES = 1 << 29  # of the table that is broadcast
+
 
 class ByteTrees:
     """Code lengths of bytes after up to three bytes, for several languages."""
 
-    def __init__(self, samples: dict[str, list[bytes]], least: int = 2):
-        self.langs = sorted(samples)
-        seen = sorted({b for texts in samples.values() for t in texts for b in set(t)})
+    def __init__(self, samples: dict[str, Iterable[bytes]] | Iterable[tuple[str, Iterable[bytes]]]):
+        raw = {lang: self._counted(texts) for lang, texts in (samples.items() if isinstance(samples, dict) else samples)}
+        self.langs = sorted(raw)
+        seen = sorted({int(x) - 1 for c in raw.values() for x in np.unique(c[0][0] % 257)})
         # Symbols: 0 stands before a text's first byte, 1 for all bytes never seen, then those seen.
         self.map = np.ones(256, np.int64)
         self.map[seen] = np.arange(len(seen)) + 2
         a = self.size = len(seen) + 2
         if not self.langs:
             return
+        small = np.concatenate([[0], self.map])
         counts = {k: [] for k in range(4)}
         for lang in self.langs:
-            sym, ctx = self._contexts([np.frombuffer(t, np.uint8) for t in samples[lang] if t])
             for k in range(4):
-                keys, n = np.unique((ctx[k] * a + sym) if len(sym) else np.zeros(0, np.int64), return_counts=True)
-                counts[k].append((keys, n))
-        for i in range(len(self.langs)):  # contexts of full order seen fewer than `least` times go
-            keys, n = counts[3][i]
-            total = np.unique(keys // a, return_inverse=True)[1]
-            keep = np.bincount(total, n)[total] >= least if len(keys) else np.zeros(0, bool)
-            counts[3][i] = keys[keep], n[keep]
+                keys, n = raw[lang][k]
+                keys = sum(small[keys // 257**j % 257] * a**j for j in range(k + 1)) if len(keys) else keys
+                order = np.argsort(keys)
+                counts[k].append((keys[order], n[order]))
         nodes = [np.unique(np.concatenate([keys // a for keys, _ in counts[k]])) for k in range(4)]
         base = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
+        if base[4] * a * len(self.langs) * 4 > MOST_BYTES:
+            raise ValueError(f"{base[4]} contexts of {a} symbols in {len(self.langs)} languages make too large a table to broadcast: learn from fewer documents a language")
         self.cost = np.zeros((base[4], a, len(self.langs)), np.float32)
         for i in range(len(self.langs)):
             dense = [self._dense(nodes[k], *counts[k][i]) for k in range(4)]
@@ -65,18 +69,27 @@ class ByteTrees:
                 hit = nodes[k][at] == triples % a**k
                 self.index[hit] = base[k] + at[hit]
 
-    def _contexts(self, texts):
-        """Symbols of all texts, and at each the contexts of 0 to 3 symbols as one number (last symbol lowest)."""
-        a = self.size
-        sym = [self.map[t] for t in texts]
-        out = [[np.zeros(0, np.int64)] for _ in range(5)]
-        for s in sym:
-            padded = np.concatenate([[0, 0, 0], s])
-            c1, c2, c3 = padded[2:-1], padded[1:-2], padded[:-3]
-            for o, v in zip(out, (s, np.zeros(len(s), np.int64), c1, c2 * a + c1, (c3 * a + c2) * a + c1), strict=True):
-                o.append(v)
-        joined = [np.concatenate(o) for o in out]
-        return joined[0], joined[1:]
+    @staticmethod
+    def _counted(texts: Iterable[bytes], most: int = 1 << 20) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For 0 to 3 bytes before: contexts and bytes as numbers to base 257 (the byte lowest; 0 before a text), and their counts."""
+        held = [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] for _ in range(4)]
+
+        def put(symbols):
+            for k in range(4):
+                code = sum(symbols[3 - j : len(symbols) - j] * 257**j for j in range(k + 1))
+                held[k].append(np.unique(code, return_counts=True))
+                if len(held[k]) > 64:
+                    held[k] = [merged(held[k])]
+
+        def merged(parts):
+            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+        for text in texts:
+            data = np.concatenate([[0, 0, 0], np.frombuffer(text, np.uint8).astype(np.int64) + 1])
+            for at in range(0, len(data) - 3, most):
+                put(data[at : at + most + 3])
+        return [merged(x) for x in held]
 
     def _dense(self, nodes, keys, n):
         out = np.zeros((len(nodes), self.size), np.float32)
@@ -132,7 +145,7 @@ class ByteTrees:
         return [self.langs[b] if x else "und" for b, x in zip(best, letters, strict=True)], np.where(letters, posterior, 0.0), np.where(letters, rate, 8.0)
 
 
-def train(docs: DataFrame, held_out=None, per_lang: int = 300, train_bytes: int = 16_384) -> ByteTrees:
+def train(docs: DataFrame, held_out=None, per_lang: int = 300) -> ByteTrees:
     """Fit on labelled documents for which held_out is false; the sample is bounded as the module says."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if held_out is not None:
@@ -145,12 +158,9 @@ def train(docs: DataFrame, held_out=None, per_lang: int = 300, train_bytes: int
     chosen = [r[1] for r in ids.collect()]
     null = None in chosen
     wanted = F.col("doc_id").isin([i for i in chosen if i is not None]) | (F.col("doc_id").isNull() & F.lit(null))
-    samples: dict[str, list[bytes]] = {}
-    rows = known.filter(wanted).select("lang", F.substring(F.encode("text", "utf-8"), 1, train_bytes).alias("b"))
-    for lang, b in rows.orderBy("lang", "b").toLocalIterator():
-        if len(samples.setdefault(lang, [])) < per_lang:
-            samples[lang].append(bytes(b))
-    return ByteTrees(samples)
+    rows = known.filter(wanted).select("lang", F.encode("text", "utf-8").alias("b")).orderBy("lang", "b").toLocalIterator()
+    one_lang = itertools.groupby(rows, lambda r: r[0])
+    return ByteTrees((lang, (bytes(r[1]) for r in itertools.islice(some, per_lang))) for lang, some in one_lang)
 
 
 def identify(docs: DataFrame, trees: ByteTrees) -> DataFrame:
