@@ -127,8 +127,8 @@ def _finish(args, reports: DataFrame, findings: DataFrame, score: str, closes: l
 def _check(args, cfg) -> int:
     spark = _session()
     t = _file(spark, args.file, args.symbol) if args.file else _fetched(spark, args.provider, args.symbol, args.range)
-    t.cache = True
-    reports, findings = (x.persist() for x in engine.check(t, cfg, schema_findings(t)))
+    t = t.written()
+    reports, findings = engine.check(t, cfg, schema_findings(t))
     closes = [r.close for r in t.bars.filter("close IS NOT NULL").orderBy("seq").select("close").collect()] if args.html else []
     code = _finish(args, reports, findings, "sanity_score", closes)
     if args.save:
@@ -148,7 +148,7 @@ def _compare(args, cfg) -> int:
         return 2
     pairs = spark.createDataFrame([("pair", "a", "b")], "pair_id string, a_id string, b_id string")
     reports, findings = compare(PairTables(pairs, t), cfg)
-    return _finish(args, reports.persist(), findings.persist(), "consistency_score")
+    return _finish(args, reports, findings, "consistency_score")
 
 
 def _history(args) -> int:

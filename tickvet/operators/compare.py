@@ -15,6 +15,7 @@ from tickvet.functions import DAY_MS, finite, utc_day
 from tickvet.operators.catalog import COMPARE_RULES
 from tickvet.operators.engine import Config, collapse, planned, scores
 from tickvet.operators.tables import MarketTables
+from tickvet.shared import written
 
 col, lit = F.col, F.lit
 
@@ -28,7 +29,7 @@ class PairTables:
 
     def _once(self, name, make):
         if name not in self._shared:
-            self._shared[name] = make().persist() if self.cache else make()
+            self._shared[name] = written(make()) if self.cache else make()
         return self._shared[name]
 
     @property
@@ -139,9 +140,10 @@ COMPARES = {
 
 
 def compare(t: PairTables, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(reports, findings) of all pairs. Sources of equal name are told apart as `name (A)` and `name (B)`."""
+    """(reports, findings) of all pairs. Sources of equal name are told apart as `name (A)` and `name (B)`. All rules run here."""
+    t = PairTables(written(t.pairs), t.tables.written(), cache=True)
     found = planned(COMPARE_RULES, COMPARES, config.compare_rules, t)
-    findings = collapse(found, COMPARE_RULES, config.compare_rules)
+    findings = written(collapse(found, COMPARE_RULES, config.compare_rules))
     d = t.tables.datasets.select("dataset_id", "symbol", "source")
     named = t.pairs.join(d.select(col("dataset_id").alias("a_id"), "symbol", col("source").alias("sa")), "a_id").join(d.select(col("dataset_id").alias("b_id"), col("source").alias("sb")), "b_id")
     same = col("sa") == col("sb")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tickvet.operators.catalog import ACTIONS, CHECK_RULES, COMPARE_RULES, PENALTIES, SEVERITIES, Rule, order_of
 from tickvet.operators.rules import CHECKS
 from tickvet.operators.tables import MarketTables
+from tickvet.shared import written
 
 OCCURRENCES = "dataset_id string, rule string, k1 long, k2 long, severity string, where_date string, value double, evidence string"
 
@@ -76,14 +77,18 @@ def check_occurrences(tables: MarketTables, config: Config = Config()) -> DataFr
 
 
 def check(tables: MarketTables, config: Config = Config(), invalid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reports, findings) of all datasets. invalid: structural findings; their datasets take no part in the rules."""
+    """(reports, findings) of all datasets. invalid: structural findings; their datasets take no part in the rules.
+
+    All rules run here, in one job over tables written once; the findings are written, so both results are cheap to read.
+    """
+    tables = tables.written()
     if invalid is not None:
         bad = invalid.select("dataset_id").distinct()
         keep = lambda df: df.join(bad, "dataset_id", "left_anti")
-        valid = MarketTables(keep(tables.datasets), keep(tables.bars), keep(tables.dividends), keep(tables.splits), tables.cache)
+        valid = MarketTables(keep(tables.datasets), keep(tables.bars), keep(tables.dividends), keep(tables.splits)).written()
     else:
         valid = tables
-    findings = collapse(check_occurrences(valid, config), CHECK_RULES, config.rules)
+    findings = written(collapse(check_occurrences(valid, config), CHECK_RULES, config.rules))
     if invalid is not None:
         findings = findings.unionByName(invalid, allowMissingColumns=True)
     reports = scores(tables.datasets.select("dataset_id", "symbol", "source"), findings, "sanity_score")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickvet.functions import finite, positive
+from tickvet.shared import discard, written
 
 # dataset_id string, symbol, source, exchange, currency, isin strings; numbers of the fundamentals
 DATASETS = "dataset_id string, symbol string, source string, exchange string, currency string, isin string, market_cap double, shares_outstanding double, eps double, pe double, dividend_yield double, payout_ratio double"
@@ -52,18 +53,25 @@ class MarketTables:
     bars: DataFrame
     dividends: DataFrame
     splits: DataFrame
-    cache: bool = False  # keep shared tables between the rules of one check
+    cache: bool = False  # write the tables that rules share, once
     _shared: dict[str, DataFrame] = field(default_factory=dict)
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._shared:
-            self._shared[name] = make().persist() if self.cache else make()
+            self._shared[name] = written(make()) if self.cache else make()
         return self._shared[name]
 
+    def written(self) -> MarketTables:
+        """These tables, computed once; so will be those that the rules share."""
+        if self.cache:
+            return self
+        return MarketTables(*(written(x) for x in (self.datasets, self.bars, self.dividends, self.splits)), cache=True)
+
     def release(self) -> None:
-        for df in self._shared.values():
-            df.unpersist()
-        self._shared.clear()
+        """Delete what was written of these tables, once nothing reads it."""
+        if self.cache:
+            discard(self.datasets, self.bars, self.dividends, self.splits, *self._shared.values())
+            self._shared.clear()
 
     @property
     def enriched(self) -> DataFrame:

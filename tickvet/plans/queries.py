@@ -29,9 +29,7 @@ def _compare_rule(rule):
 
 
 def _checked(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    t.cache = True
-    return engine.check(t, CONFIG)
+    return engine.check(tables(spark, sf_dir), CONFIG)
 
 
 def reports(spark, sf_dir):
@@ -51,9 +49,7 @@ def frequency(spark, sf_dir):
 
 
 def compare_reports(spark, sf_dir):
-    t = pair_tables(spark, sf_dir)
-    t.cache = True
-    return cmp.compare(t, CONFIG)[0].drop("symbol", "source_a", "source_b")
+    return cmp.compare(pair_tables(spark, sf_dir), CONFIG)[0].drop("symbol", "source_a", "source_b")
 
 
 def profile(spark, sf_dir):
