@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,68 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_paths: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where it is unset, one of the driver's, and only with local executors."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{_own_dir()}"
-
-
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="llm-")
-
-
-@contextlib.contextmanager
-def _held(spark: SparkSession, settings: dict[str, str]):
-    """Settings that hold inside, and are put back."""
-    before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+from tickvet.shared import discard, written  # noqa: F401
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The step's shuffle files go when it has ended. Texts come to Python by 1,000 rows at most. What is not discarded before goes
-    when the driver ends, since lazy results may read it until then.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    with _held(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
-        df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._written_at = path
-    _paths[path] = spark
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() made and nothing reads any more."""
-    for table in tables:
-        _delete(_paths.pop(table._written_at), table._written_at)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@atexit.register
-def _end() -> None:
-    for path, spark in _paths.items():
-        with contextlib.suppress(Exception):  # the session may have ended before
-            _delete(spark, path)
+    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors. Texts come to Python by 1,000 rows at most."""
+    return written(df, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"})
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
