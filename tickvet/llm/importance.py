@@ -66,7 +66,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
         for batch in slices(batches):
             bucket, row = _features(batch, dim)
             n = np.bincount(row, minlength=batch.num_rows)
-            weight = np.bincount(row, model.value[bucket], batch.num_rows)
+            weight = np.bincount(row, model.value[bucket], batch.num_rows).astype(float)  # of no features it is of integers
             ids = batch.column("doc_id").fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
             u = ((mix(mix(ids + np.uint64(seed + 1))) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(weight), pa.array(weight - np.log(-np.log(u)))], ["doc_id", "n_features", "log_weight", "gumbel_key"])
