@@ -6,10 +6,8 @@ bit f set if some open bin has f tokens free; the least sufficient f is the best
 beyond `open_bins` the fullest closes first. Full pieces are sequences of their own. The number of open bins bounds the
 memory, and no piece waits: a bin closes only because it is full, the fullest of too many, or its group's last.
 
-Within a group the longest pieces come first, which leaves the short ones to fill the gaps.
-
-Pieces are dealt into groups of about `group_rows` by a hash of the document id; a group's bins stay within it, so only
-the last bins of a group of tens of thousands are loose.
+Pieces are dealt into groups of about `group_rows` by a hash of their place in the table, whatever their ids, and arrive in
+the table's order; a group's bins stay within it, so only the last bins of a group of tens of thousands are loose.
 
 Edge cases: null or empty text has the end token only; repeated rows are packed each; a null id is an id of its own; an
 empty table gives an empty result; other columns are ignored.
@@ -33,7 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class Packer:
     """place(length): (bin, offset). Bins are numbered in order of opening."""
 
-    def __init__(self, size: int = 1024, open_bins: int = 1 << 15):
+    def __init__(self, size: int = 1024, open_bins: int = 256):
         self.size, self.limit = size, open_bins
         self.bits, self.open, self.bins = 0, 0, 0
         self.free: list[list[int]] = [[] for _ in range(size + 1)]
@@ -113,7 +111,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 2, open_bins: int = 1 << 15, group_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 2, open_bins: int = 256, group_rows: int = 50_000) -> DataFrame:
     """Every piece with its sequence_id and offset there. A sequence lies within one task's output."""
     pieces = materialize(tokenize(docs, tokenizer_file, size, end_id))
     groups = max(1, -(-pieces.count() // group_rows))
@@ -127,4 +125,5 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 2
             at = [packer.place(n) for n in batch.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + b for b, _ in at], pa.int64()), pa.array([o for _, o in at], pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
-    return pieces.repartition(groups, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece").mapInArrow(each, PIECES + ", sequence_id long, offset long")
+    dealt = pieces.withColumn("place", F.monotonically_increasing_id()).repartition(groups, F.xxhash64("place")).sortWithinPartitions("place")
+    return dealt.drop("place").mapInArrow(each, PIECES + ", sequence_id long, offset long")
