@@ -21,7 +21,7 @@ from tickvet.operators.catalog import CHECK_RULES, COMPARE_RULES, SEVERITIES
 from tickvet.operators.compare import PairTables, compare
 from tickvet.operators.report_html import page
 from tickvet.operators.tables import MarketTables
-from tickvet.sources import IngestError, chart_errors, history, parse_chart, parse_daily_series, read_file, schema_findings
+from tickvet.sources import IngestError, chart_errors, daily_series_errors, history, parse_chart, parse_daily_series, read_file, schema_findings
 from tickvet.sources.connectors import CONNECTORS, ConnectorError, VendorSource, connector_status, get_connector
 
 
@@ -80,8 +80,8 @@ def _fetched(spark: SparkSession, provider: str, symbol: str, span: str) -> Mark
     spark.dataSource.register(VendorSource)
     raw = spark.read.format("vendor_daily").option("provider", provider).option("symbols", symbol).option("range", span).load().persist()
     errors = raw.filter("error IS NOT NULL").select("dataset_id", "error")
-    if provider == "yahoo":
-        errors = errors.unionByName(chart_errors(raw.filter("error IS NULL")))
+    told = chart_errors if provider == "yahoo" else daily_series_errors
+    errors = errors.unionByName(told(raw.filter("error IS NULL")))
     if bad := errors.first():
         raise ConnectorError(f"{provider}: {bad.dataset_id}: {bad.error}")
     return parse_chart(raw) if provider == "yahoo" else parse_daily_series(raw, symbol)

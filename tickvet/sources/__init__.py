@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,17 +66,18 @@ def header_map(header: list[str]) -> dict[str, int]:
 
 
 def read_csv(spark: SparkSession, path: str, symbol: str | None = None, source: str | None = None) -> MarketTables:
-    """One CSV file with a header to one dataset (its id is the path). The file is one value, so that seq is its line order."""
-    from py4j.protocol import Py4JJavaError  # noqa: F401
+    """One CSV file with a header to one dataset (its id is the path). The file is one value, so that seq is its line order.
 
+    Quoted fields may hold commas and doubled quotes, but no line breaks.
+    """
     files = spark.read.text(path, wholetext=True).select(F.lit(path).alias("dataset_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
     head = files.select(F.split("text", "\n")[0].alias("h")).first()
     if head is None or not (head.h or "").strip():
         raise IngestError("the file has no header")
-    header = [h.strip('"') for h in head.h.split(",")]
+    header = next(csv.reader([head.h]))
     places = header_map(header)
     rows = files.select("dataset_id", F.posexplode(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 2, 2_000_000_000)).alias("seq", "row"))
-    cells = F.split("row", ",")
+    cells = F.split("row", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')  # commas that an even number of quotes follows
     total, ragged = rows.agg(F.count("*"), F.count_if(F.size(cells) != len(header))).first()
     if not total:
         raise IngestError("the file has no rows")
@@ -83,7 +86,11 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None, source:
         raise IngestError(f"{ragged} of {total} rows have a different number of fields, first rows {first}")
 
     def cell(name: str) -> Column:
-        return F.trim(F.get(cells, places[name]), F.lit('" ')) if name in places else F.lit(None).cast("string")
+        if name not in places:
+            return F.lit(None).cast("string")
+        plain = F.trim(F.get(cells, places[name]))
+        quoted = F.regexp_extract(plain, '^"(.*)"$', 1)
+        return F.trim(F.when(plain.rlike('^".*"$'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(plain))
 
     ts = normal_timestamp(cell("timestamp"))
     bars = rows.select("dataset_id", "seq", ts.alias("ts_raw"), to_ms(ts).alias("t"), *(cell(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")), F.lit(None).cast("double").alias("adj_factor"))
@@ -159,6 +166,15 @@ def parse_daily_series(payloads: DataFrame, symbol: str = "UNKNOWN") -> MarketTa
     return _normalized(rows.filter("e IS NOT NULL").select("dataset_id", d.alias("d")))
 
 
+def daily_series_errors(payloads: DataFrame) -> DataFrame:
+    """dataset_id and error of the payloads that are the vendor's messages, or hold no series."""
+    keys = ("Error Message", "Note", "Information")  # fixed values of the vendor
+    d = F.from_json("text", ", ".join(f"`{k}` string" for k in keys) + ", `Time Series (Daily)` map<string,map<string,string>>")
+    told = F.coalesce(*(F.when(F.length(d[k]) > 0, F.concat(F.lit(f"{k}: "), d[k])) for k in keys))
+    error = F.coalesce(told, F.when(F.try_parse_json("text").isNull(), "not a JSON object"), F.when(d["Time Series (Daily)"].isNull(), "no daily series"))
+    return payloads.select("dataset_id", error.alias("error")).filter("error IS NOT NULL")
+
+
 def schema_findings(t: MarketTables, most: int = 20) -> DataFrame:
     """SCHEMA_INVALID findings of structural faults: critical, at most `most` a dataset, not collapsed; the first counts them all."""
 
