@@ -5,6 +5,8 @@ import pytest
 from test_market import dataset, tables
 
 from tickvet.operators import engine, report_data, scoreboard
+from tickvet.operators.catalog import CHECK_RULES, COMPARE_RULES, REFERENCES
+from tickvet.operators.report_html import page
 from tickvet.sources import daily_series_errors, read_file
 
 WAVE = [100.0, 100.4, 100.1, 100.5, 100.2, 100.6, 100.3, 100.0, 100.5, 100.1, 100.4, 100.2]
@@ -46,6 +48,16 @@ def test_whole_reports(checked):
         assert (scores[name], got.get(name, [])) == (score, want), name
 
 
+def test_references(checked):
+    links = {f.rule: f.references for r in engine.ordered_findings(checked[2]).collect() for f in r.findings}
+    assert links["INSUFFICIENT_DATA"] == []
+    assert links["MARKETCAP_MISMATCH"] == ["https://quant.stackexchange.com/questions/23085/correct-alphabet-google-market-cap-calculation"]
+    assert len(links["CURRENCY_SCALE_SUSPECT"]) == 2
+    assert set(REFERENCES) <= {*CHECK_RULES, *COMPARE_RULES}
+    html = page("X", 85, {"warning": 1}, [{"rule": "R", "severity": "warning", "explanation": "", "references": ["https://example.org/?a=1&b=2", "javascript:alert(1)"]}])
+    assert 'href="https://example.org/?a=1&amp;b=2"' in html and 'href="javascript' not in html
+
+
 def test_report_data(spark, checked):
     t, _, findings = checked
     marks = {(r.dataset_id, r.where_date): r.rule for r in report_data.marks_by_date(findings).collect()}

@@ -73,3 +73,48 @@ COMPARE_RULES = {r.id: r for r in (
 
 def order_of(rules: dict[str, Rule]) -> dict[str, int]:
     return {r.id: i for i, r in enumerate(sorted(rules.values(), key=lambda r: r.rank))}
+
+
+# The links that a rule's findings carry, in this order. A rule that is not here has none.
+REFERENCES = {
+    "SPLIT_NOT_ADJUSTED": ("https://ranaroussi.github.io/yfinance/advanced/price_repair.html", "https://github.com/ranaroussi/yfinance/issues/2002"),
+    "RETURN_SPIKE": ("https://statsolvepro.com/outlier-detection-methods/",),
+    "PRICE_SPIKE_INTRADAY": (
+        "https://www.thestack.technology/nyse-glitch-cause/",
+        "https://real-statistics.com/time-series-analysis/stochastic-processes/hampel-filter-outliers/",
+        "https://www.finra.org/rules-guidance/rulebooks/finra-rules/11892",
+    ),
+    "PRICE_NONPOSITIVE": ("https://public.econ.duke.edu/~get/browse/courses/201/spr12/DOWNLOADS/MicroStructure/bhls_kernels_practice_08.pdf",),
+    "OHLC_INCONSISTENT": ("https://ranaroussi.github.io/yfinance/advanced/price_repair.html",),
+    "VOLUME_NEGATIVE": ("https://public.econ.duke.edu/~get/browse/courses/201/spr12/DOWNLOADS/MicroStructure/bhls_kernels_practice_08.pdf",),
+    "ZERO_VOLUME_MOVED": ("https://ranaroussi.github.io/yfinance/advanced/price_repair.html",),
+    "TS_DUPLICATED": ("https://github.com/ranaroussi/yfinance/issues/902",),
+    "TS_UNORDERED": ("https://github.com/ranaroussi/yfinance/issues/902",),
+    "BAR_MISSING": ("https://ranaroussi.github.io/yfinance/advanced/price_repair.html",),
+    "STALE_PRICE": ("https://eodhd.com/financial-academy/fundamental-analysis-examples/real-time-market-data-reliability-stale-price-detection-rest-fallback-and-websocket-recovery",),
+    "CURRENCY_SCALE_SUSPECT": ("https://forum.portfolio-performance.info/t/stock-prices-in-pence-gbx/14270", "https://ranaroussi.github.io/yfinance/advanced/price_repair.html"),
+    "DIV_DUPLICATED": ("https://ranaroussi.github.io/yfinance/advanced/price_repair.html",),
+    "EXDATE_AFTER_PAYDATE": ("https://developers.lseg.com/en/article-catalog/article/workspace-corporate-actions-content-set-guide", "https://www.finra.org/rules-guidance/rulebooks/finra-rules/11140"),
+    "EXDATE_MISPLACED": ("https://ranaroussi.github.io/yfinance/advanced/price_repair.html",),
+    "DIV_NOT_ADJUSTED": ("https://ranaroussi.github.io/yfinance/advanced/price_repair.html",),
+    "DIV_SCALE_100X": ("https://ranaroussi.github.io/yfinance/advanced/price_repair.html",),
+    "DIV_YIELD_IMPOSSIBLE": ("https://quantpedia.com/working-with-high-frequency-tick-data-cleaning-the-data/",),
+    "DIV_SPECIAL_MISCLASSIFIED": ("https://ranaroussi.github.io/yfinance/advanced/price_repair.html",),
+    "SPLIT_RATIO_IMPROBABLE": (
+        "https://www.ge.com/news/press-releases/ge-announces-effective-date-for-reverse-stock-split",
+        "https://www.barrons.com/articles/ge-announced-tons-wednesday-this-was-the-real-bombshell-51615389095",
+        "https://www.nasdaqtrader.com/TraderNews.aspx?id=ECA2018-98",
+    ),
+    "CORPORATE_ACTION_MISSING_FROM_FACTOR": ("https://ranaroussi.github.io/yfinance/advanced/price_repair.html",),
+    "MARKETCAP_MISMATCH": ("https://quant.stackexchange.com/questions/23085/correct-alphabet-google-market-cap-calculation",),
+    "PE_EPS_INCOMPATIBLE": ("https://www.asimplemodel.com/insights/extremely-sloppy-and-dubious-sell-side-research",),
+    "PAYOUT_IMPOSSIBLE": ("https://www.asimplemodel.com/insights/extremely-sloppy-and-dubious-sell-side-research",),
+    "CURRENCY_SUSPECT": ("https://forum.portfolio-performance.info/t/stock-prices-in-pence-gbx/14270", "https://www.fool.co.uk/investing-basics/why-are-uk-stock-prices-quoted-in-pence-not-pounds/"),
+    "SYMBOL_MAPPING_SUSPECT": ("https://www.crucible-research.com/nasdaq-100-historical-constituents", "https://forum.amibroker.com/t/survivorship-bias-why-only-delisting-date/29543"),
+    "DIVIDEND_FX_MISMATCH": ("https://forum.portfolio-performance.info/t/stock-prices-in-pence-gbx/14270",),
+    "CLOSE_DIVERGENCE": ("https://www.kibot.com/quality/data-comparison.html",),
+    "PRICE_DATE_MISMATCH": ("https://www.kibot.com/quality/data-comparison.html",),
+    "DIVIDEND_MISMATCH": ("https://github.com/ranaroussi/yfinance/issues/2214",),
+    "SPLIT_MISMATCH": ("https://github.com/ranaroussi/yfinance/discussions/2183",),
+    "VOLUME_DIVERGENCE": ("https://quant.stackexchange.com/questions/51072/yahoo-finance-volume-vs-sum-of-hourly-bars",),
+}

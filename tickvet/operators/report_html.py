@@ -35,9 +35,15 @@ def price_line(closes: list[float], width: int = 800, height: int = 200) -> str:
     return f'<svg viewBox="0 0 {width} {height}" role="img"><polyline fill="none" stroke="currentColor" points="{xy}"/></svg>'
 
 
+def _links(urls: list[str] | None) -> str:
+    """A list of the links that are http or https."""
+    items = [f'<li><a href="{esc(u)}" rel="noopener noreferrer">{esc(u)}</a></li>' for u in urls or () if safe_href(u)]
+    return f"<ul>{''.join(items)}</ul>" if items else ""
+
+
 def page(title: str, score: int, summary: dict[str, int], findings: list[dict], closes: list[float] = ()) -> str:
-    """findings: dicts with rule, severity, explanation, occurrences and evidence (JSON), in order."""
-    cards = "".join(f'<article class="{esc(f["severity"])}"><h3>{esc(f["rule"])}</h3><p>{esc(f["explanation"])}</p><pre>{esc(f.get("evidence") or "")}</pre></article>' for f in findings)
+    """findings: dicts with rule, severity, explanation, occurrences, evidence (JSON) and references (links), in order."""
+    cards = "".join(f'<article class="{esc(f["severity"])}"><h3>{esc(f["rule"])}</h3><p>{esc(f["explanation"])}</p><pre>{esc(f.get("evidence") or "")}</pre>{_links(f.get("references"))}</article>' for f in findings)
     steps, left = [], 100
     for f in findings:
         left = max(0, left - {"critical": 40, "warning": 15, "info": 5}[f["severity"]])
