@@ -33,6 +33,8 @@ def test_check_and_history(spark, tmp_path, capsys):
 def test_compare(spark, tmp_path, capsys):
     a = write(tmp_path / "a.json", [100.0 + i for i in range(12)])
     b = write(tmp_path / "b.json", [102.0 + i for i in range(12)])
-    code = cli.main(["compare", "--files", f"{a},{b}", "--fail-on", "info", "--format", "json"])
+    html = tmp_path / "c.html"
+    code = cli.main(["compare", "--files", f"{a},{b}", "--fail-on", "info", "--format", "json", "--html", str(html)])
+    assert html.read_text().count("<polyline") == 2 and "12 shared days, 0 more than 2% apart" in html.read_text()
     out = json.loads(capsys.readouterr().out)
     assert code == 1 and out["compared_dates"] == 12 and any(f["rule"] == "CLOSE_DIVERGENCE" for f in out["findings"])

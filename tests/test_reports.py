@@ -6,7 +6,7 @@ from test_market import dataset, tables
 
 from tickvet.operators import engine, report_data, scoreboard
 from tickvet.operators.catalog import CHECK_RULES, COMPARE_RULES, REFERENCES
-from tickvet.operators.report_html import page
+from tickvet.operators.report_html import overlay, page
 from tickvet.sources import daily_series_errors, read_file
 
 WAVE = [100.0, 100.4, 100.1, 100.5, 100.2, 100.6, 100.3, 100.0, 100.5, 100.1, 100.4, 100.2]
@@ -58,6 +58,19 @@ def test_references(checked):
     assert 'href="https://example.org/?a=1&amp;b=2"' in html and 'href="javascript' not in html
 
 
+def test_overlay():
+    days = [("2023-06-01", 100.0, 100.0), ("2023-06-02", 100.0, 103.0), ("2023-06-05", 101.0, 104.0), ("2023-06-06", float("nan"), 1.0), ("2023-06-07", None, 1.0)]
+    found = [{"rule": "R", "where_date": None}, {"rule": "Q", "where_date": "2023-06-05"}, {"rule": "P", "where_date": "2023-06-05"}]
+    svg = overlay(days, ("<a>", "b"), found)
+    assert svg.count("<polyline") == 2 and "3 shared days, 2 more than 2% apart" in svg and svg.count('class="mark"') == 2
+    assert svg.count("<a href") == 1 and '<a href="#f1">' in svg and "&lt;a&gt;: 100.00 to 101.00" in svg and "b: 100.00 to 104.00" in svg
+    assert overlay([], ("a", "b"), []) == "" == overlay(days[3:], ("a", "b"), [])
+    one = overlay(days[:1], ("a", "b"), [])
+    assert "<polyline" not in one and one.count("<circle") == 2
+    zero = overlay([("2023-06-01", 0.0, 0.0), ("2023-06-02", -1.0, -2.0)], ("a", "b"), [])
+    assert "0 more than" in zero
+
+
 def test_report_data(spark, checked):
     t, _, findings = checked
     marks = {(r.dataset_id, r.where_date): r.rule for r in report_data.marks_by_date(findings).collect()}

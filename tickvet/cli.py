@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tickvet.operators import config, engine
 from tickvet.operators.catalog import CHECK_RULES, COMPARE_RULES, SEVERITIES
 from tickvet.operators.compare import PairTables, compare
-from tickvet.operators.report_html import page
+from tickvet.operators.report_html import overlay, page
 from tickvet.operators.tables import MarketTables
 from tickvet.sources import IngestError, chart_errors, daily_series_errors, history, parse_chart, parse_daily_series, read_file, schema_findings
 from tickvet.sources.connectors import CONNECTORS, ConnectorError, VendorSource, connector_status, get_connector
@@ -106,8 +106,8 @@ def _print(report: dict, score: str, findings: list[dict], form: str, coverage:
         print(f"  {f['severity']:8} {f['action']:6} {f['rule']}: {f['explanation']}")
 
 
-def _finish(args, reports: DataFrame, findings: DataFrame, score: str, closes: list[float] = ()) -> int:
-    """Print, write and gate the one report."""
+def _finish(args, reports: DataFrame, findings: DataFrame, score: str, closes: list[float] = (), days: list[tuple] = ()) -> int:
+    """Print, write and gate the one report; days: the closes of a comparison's shared days."""
     gated = engine.gate(reports, args.fail_on, args.min_score, score).first().asDict()
     found = engine.ordered_findings(findings).first()
     rows = [f.asDict() for f in found.findings] if found else []
@@ -117,8 +117,9 @@ def _finish(args, reports: DataFrame, findings: DataFrame, score: str, closes: l
     gated["generated_at"] = datetime.now(UTC).isoformat()
     _print(gated, score, rows, args.format, coverage)
     if args.html:
+        chart = overlay(days, (gated["source_a"], gated["source_b"]), rows) if days else ""
         with open(args.html, "w", encoding="utf-8") as f:
-            f.write(page(f"{gated['symbol']}", gated[score], {s: gated[s] for s in SEVERITIES}, rows, closes))
+            f.write(page(f"{gated['symbol']}", gated[score], {s: gated[s] for s in SEVERITIES}, rows, closes, chart))
     for reason in reasons:
         print(f"gate failed: {reason}", file=sys.stderr)
     return code
@@ -147,8 +148,10 @@ def _compare(args, cfg) -> int:
         print(f"dataset {bad.dataset_id}: {bad.explanation}", file=sys.stderr)
         return 2
     pairs = spark.createDataFrame([("pair", "a", "b")], "pair_id string, a_id string, b_id string")
-    reports, findings = compare(PairTables(pairs, t), cfg)
-    return _finish(args, reports, findings, "consistency_score")
+    both = PairTables(pairs, t)
+    reports, findings = compare(both, cfg)
+    days = [tuple(r) for r in both.aligned.filter("in_a AND in_b").orderBy("day").select("day", "a_close", "b_close").collect()] if args.html else []
+    return _finish(args, reports, findings, "consistency_score", days=days)
 
 
 def _history(args) -> int:
