@@ -338,3 +338,9 @@ def test_keep_first_by_row(spark):
     rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (1, c), (None, d), (None, d), (4, ""), (None, None)]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (3, b), (1, c), (None, d), (4, "")]))
+
+
+def test_links_across_the_sign_bit():
+    fps = np.array([5, 5 ^ -(1 << 63) ^ 3 << 40, 5 ^ 1 << 50], np.int64)  # 3, 1 and 4 bits apart
+    a, b = simhash.shard_edges(fps, fps, 1, 3)
+    assert len(a) == 2 and set(a.tolist()) | set(b.tolist()) == set(fps.tolist())

@@ -151,6 +151,11 @@ class _Forest:
         return all(self.root(i) == first for x in (a, b) for i in x.tolist())
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of signed longs; bitwise_count alone counts those of the absolute value."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
 class _ByHalf:
     """Fingerprints grouped by one half of theirs."""
 
@@ -179,7 +184,7 @@ def shard_edges(kept: np.ndarray, queries: np.ndarray, side: int, radius: int, l
             a, b = some[i], place[j]
             single = (np.diff(asked.begin)[a] == 1) & (np.diff(own.begin)[b] == 1)
             x, y = asked.fps[asked.begin[a[single]]], own.fps[own.begin[b[single]]]
-            hit = (np.bitwise_count(x ^ y) <= radius) & (x != y)
+            hit = (_apart(x, y) <= radius) & (x != y)
             forest.join_all(number(x[hit]), number(y[hit]))
             for p, q in zip(a[~single].tolist(), b[~single].tolist(), strict=True):
                 ours, theirs = asked.of(p), own.of(q)
@@ -188,7 +193,7 @@ def shard_edges(kept: np.ndarray, queries: np.ndarray, side: int, radius: int, l
                         x, y = ours[at : at + block], theirs[bt : bt + block]
                         if len(x) * len(y) > 64 and forest.one(number(x), number(y)):
                             continue  # linked already; further links between them change no component
-                        u, v = np.nonzero((np.bitwise_count(x[:, None] ^ y[None, :]) <= radius) & (x[:, None] != y[None, :]))
+                        u, v = np.nonzero((_apart(x[:, None], y[None, :]) <= radius) & (x[:, None] != y[None, :]))
                         if len(u):
                             forest.join_all(number(x[u]), number(y[v]))
     pairs = np.array(forest.joined, np.int64).reshape(-1, 2)
