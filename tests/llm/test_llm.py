@@ -340,6 +340,31 @@ def test_keep_first_by_row(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (3, b), (1, c), (None, d), (4, "")]))
 
 
+def test_keep_first_by_fingerprints(spark, monkeypatch):
+    from tickvet.llm import docjoin
+
+    rng = random.Random(21)
+    texts = []
+    for _ in range(12):
+        base = words(rng, 400).split()
+        near, short = list(base), base[: rng.randint(5, 9)]
+        near[rng.randrange(400)] = "changed"
+        texts += [" ".join(base), " ".join(near), " ".join([*base, *short]), " ".join(short)]
+    texts += ["x " * 40 + "y", "x " * 400 + "y", "x " * 60]  # the shingles' repeats count in a fingerprint: near ones of sets half alike
+    bits = lambda i, j: (simhash.simhash(texts[i], 5) ^ simhash.simhash(texts[j], 5)).bit_count()
+    alike = lambda i, j: len(shingles(texts[i]) & shingles(texts[j])) * 5 >= len(shingles(texts[i]) | shingles(texts[j])) * 4
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if bits(i, j) <= 3]
+    gone, unlike = {j for i, j in pairs if alike(i, j)}, {j for i, j in pairs if not alike(i, j)}
+    assert len(gone) > 3 and unlike - gone
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {j for j in range(len(texts)) for i in range(j) if alike(i, j)}
+    assert {r.doc_id for r in simhash.keep_first(table).collect()} == set(range(len(texts))) - whole
+    # Without the exact join's postings what goes is what fingerprints link, and only if the sets are alike.
+    nothing = spark.createDataFrame([], "shard long, token long, c long, n int")
+    monkeypatch.setattr(docjoin, "met_prefixes", lambda *_: nothing)
+    assert {r.doc_id for r in simhash.keep_first(table).collect()} == set(range(len(texts))) - gone
+
+
 def test_links_across_the_sign_bit():
     fps = np.array([5, 5 ^ -(1 << 63) ^ 3 << 40, 5 ^ 1 << 50], np.int64)  # 3, 1 and 4 bits apart
     a, b = simhash.shard_edges(fps, fps, 1, 3)

@@ -7,7 +7,8 @@ shingle). Documents of a Jaccard similarity of num/den or more link; a group is
 2. Shingles are ordered by rarity (levels of those common in a bounded sample, then hash; any order is right, a good one is
    fast). A prefix is the n - ceil(n num/den) + 1 rarest of n; two similar sets share one of them. Prefixes are dealt to shards by
    shingle, and only shingles that several classes have there go on.
-3. Star rounds verify each class with one likely partner, so a large group is settled by about one pair a class. The last
+3. Pairs that the caller proposes (simhash.py: links of fingerprints) are verified first; what they settle is asked no more.
+4. Star rounds verify each class with one likely partner, so a large group is settled by about one pair a class. The last
    round takes all pairs of unlike groups that share a shingle of both prefixes, drops those whose number of shared ones is too small for num/den
    (up to where the first of two prefixes ends, all shared shingles are in both), and verifies the rest on the whole sets.
 
@@ -19,13 +20,15 @@ Edge cases: null text counts as empty; texts without words are one class.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import materialize, mix, slices, text_bytes, word_hashes, word_shingles
+from tickvet.llm.common import discard, materialize, mix, slices, text_bytes, word_hashes, word_shingles
 from tickvet.llm.linejoin import bitmap, maybe_in
 
 def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -199,15 +202,21 @@ def _verified(docs: DataFrame, key: str, firsts: DataFrame, pairs: DataFrame, wi
             offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=batch.num_rows))])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(c), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s.view(np.int64)))], ["key", "c", "h"])
 
-    near = docs.select(F.col(key).cast("long").alias("key"), "text").filter(maybe_in(bitmap(wanted, "key"), F.col("key")))
+    bits = bitmap(wanted, "key")
+    near = docs.select(F.col(key).cast("long").alias("key"), "text").filter(maybe_in(bits, F.col("key")))
     sets = materialize(near.mapInArrow(each, "key long, c long, h array<long>").join(wanted, "key", "left_semi").select("c", "h"))
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("c").alias("b"), F.col("h").alias("hb")), "b")
     similar = F.size(F.array_intersect("ha", "hb")) * (num + den) >= (F.size("ha") + F.size("hb")) * num
-    return materialize(both.filter(similar).select("a", "b"))
+    out = materialize(both.filter(similar).select("a", "b"))
+    discard(pairs, wanted, bits, sets)
+    return out
+
 
+def groups(docs: DataFrame, key: str = "doc_id", width: int = 5, num: int = 4, den: int = 5, sample_rows: int = 10_000, shard_rows: int = 250_000, stars: int = 2, proposed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, root): the group of every document; materialised. key: a column of distinct longs.
 
-def groups(docs: DataFrame, key: str = "doc_id", width: int = 5, num: int = 4, den: int = 5, sample_rows: int = 10_000, shard_rows: int = 250_000, stars: int = 2) -> DataFrame:
-    """(key, root): the group of every document; materialised. key: a column of distinct longs."""
+    proposed: from (key, c), the class of every document, to pairs (a, b) of classes to verify before any others.
+    """
     from tickvet.llm.simhash import components
 
     of = classes(docs, key, width)
@@ -215,7 +224,8 @@ def groups(docs: DataFrame, key: str = "doc_id", width: int = 5, num: int = 4, d
     common = common_shingles(docs, width, min(1.0, sample_rows / max(rows, 1)))
     met = met_prefixes(docs, width, num, den, common, max(1, shingles * (den - num) // den // shard_rows + 1))
     firsts = materialize(of.groupBy("c").agg(F.min("key").alias("key")))
-    edges, roots = [], None
+    edges = [_verified(docs, key, firsts, proposed(of), width, num, den)] if proposed else []
+    roots = components(edges[0]) if edges else None
     for turn in range(stars + 1):
         named = met.withColumn("root", F.col("c")) if roots is None else met.join(roots, met.c == roots.node, "left").select(*met.columns, F.coalesce("root", "c").alias("root"))
         search = _search(turn if turn < stars else None, num, den)

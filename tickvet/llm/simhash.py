@@ -255,18 +255,33 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, sample_row
     return prints.join(of.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def likely(of: DataFrame, prints: DataFrame, radius: int = 3, sample_rows: int = 20_000, shard_rows: int = 20_000) -> DataFrame:
+    """(a, b): pairs of classes whose closure is that of all links of their fingerprints.
+
+    of: (key, c), the class of every document; prints: (doc_id, fp) with the key as doc_id.
+    """
+    named = materialize(of.join(prints, of.key == prints.doc_id).select("fp", "c").distinct())
+    heads = materialize(named.groupBy("fp").agg(F.min("c").alias("head")))
+    head = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias("c" + side))
+    same = named.join(heads, "fp").select(F.col("c").alias("a"), F.col("head").alias("b"))
+    linked = links(heads, radius, sample_rows, shard_rows).join(head("a"), "a").join(head("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return same.unionByName(linked).filter("a <> b").distinct()
+
+
+def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, radius: int = 3) -> DataFrame:
     """Exactly one row of each group, that of the least id (of equal ids any, null ids last); all columns.
 
-    Groups are those of docjoin, not op10's: links of Jaccard num/den. Rows are told apart by a number of their own, so
-    repeated and null ids are rows like others.
+    Groups are those of Jaccard num/den over shingles. SimHash and its vantage-point trees propose the links, at `radius` bits or fewer;
+    each is verified on the whole sets. Similar texts whose fingerprints are further apart are found by the exact join (docjoin),
+    among what is not linked yet. Rows are told apart by a number of their own, so repeated and null ids are rows like others.
     """
     from tickvet.llm import docjoin
     from tickvet.llm.linejoin import bitmap, maybe_in
 
     row = "row_" + "_".join(docs.columns)  # no column's name
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = docjoin.groups(numbered, row, width, num, den)
+    prints = materialize(fingerprints(numbered.select(F.col(row).alias("doc_id"), "text"), width))
+    found = docjoin.groups(numbered, row, width, num, den, proposed=lambda of: likely(of, prints, radius))
     ids = numbered.select(F.col(row).alias("key"), F.col("doc_id").cast("long").alias("id"))
     placed = found.join(ids, "key").select("key", "root", F.struct(F.col("id").isNull(), "id", "key").alias("place"))
     first = placed.groupBy("root").agg(F.min("place").alias("first"))
