@@ -369,3 +369,18 @@ def test_links_across_the_sign_bit():
     fps = np.array([5, 5 ^ -(1 << 63) ^ 3 << 40, 5 ^ 1 << 50], np.int64)  # 3, 1 and 4 bits apart
     a, b = simhash.shard_edges(fps, fps, 1, 3)
     assert len(a) == 2 and set(a.tolist()) | set(b.tolist()) == set(fps.tolist())
+
+
+def test_toxicity_learns_without_a_table(spark, monkeypatch):
+    from tickvet.llm import common
+
+    written = []
+    monkeypatch.setattr(common, "written", lambda df, settings=None: written.append(df) or df)
+    rows = [(i, "good day" if i % 2 else "vile scum") for i in range(200)]
+    docs = spark.createDataFrame([*rows, *rows, (1, "a bad day")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, toxic int")
+    before = {k: spark.conf.get(k, None) for k in common.CLEAN | common.SMALL}
+    bucket, weight = ftrl.train(docs, known, dim=1 << 12, l1=0.5)
+    assert not written and len(bucket) and before == {k: spark.conf.get(k, None) for k in before}
+    scores = {r.doc_id: r.score for r in ftrl.score(docs.filter("text <> 'a bad day'"), (bucket, weight), 1 << 12).collect()}
+    assert all((scores[i] > 0.5) == (i % 2 == 0) for i in range(200))

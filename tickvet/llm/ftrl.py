@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import crc_fold, discard, gapped_pairs, materialize, slices, text_bytes, word_hashes
+from tickvet.llm.common import collected, crc_fold, gapped_pairs, slices, text_bytes, word_hashes
 
 
 def features(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, dim: int = 1 << 20,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([b.tobytes() for b in per_row], pa.binary())], ["doc_id", "buckets"])
 
     picked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pick, "doc_id long, buckets binary")
-    rows = materialize(picked.groupBy("doc_id").agg(F.min("buckets").alias("buckets")))
+    rows = picked.groupBy("doc_id").agg(F.min("buckets").alias("buckets"))
 
     def learn(batches):
         model, data = Ftrl(dim, **ftrl), []
@@ -84,8 +84,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, dim: int = 1 << 20,
         some = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(some - 1, pa.int64()), pa.array(w[some])], ["bucket", "weight"])
 
-    got = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "buckets").mapInArrow(learn, "bucket long, weight double").collect()
-    discard(rows)
+    learned = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "buckets").mapInArrow(learn, "bucket long, weight double")
+    # No table between: it would be a file for each shuffle partition of at most train_rows rows, each begun by processes of the file system's.
+    got = collected(learned)
     return np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float)
 
 
