@@ -351,7 +351,7 @@ def test_keep_first_by_fingerprints(spark, monkeypatch):
         near[rng.randrange(400)] = "changed"
         texts += [" ".join(base), " ".join(near), " ".join([*base, *short]), " ".join(short)]
     texts += ["x " * 40 + "y", "x " * 400 + "y", "x " * 60]  # the shingles' repeats count in a fingerprint: near ones of sets half alike
-    bits = lambda i, j: (simhash.simhash(texts[i], 5) ^ simhash.simhash(texts[j], 5)).bit_count()
+    bits = lambda i, j: (simhash.simhash(texts[i]) ^ simhash.simhash(texts[j])).bit_count()
     alike = lambda i, j: len(shingles(texts[i]) & shingles(texts[j])) * 5 >= len(shingles(texts[i]) | shingles(texts[j])) * 4
     pairs = [(i, j) for j in range(len(texts)) for i in range(j) if bits(i, j) <= 3]
     gone, unlike = {j for i, j in pairs if alike(i, j)}, {j for i, j in pairs if not alike(i, j)}

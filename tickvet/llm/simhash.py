@@ -271,8 +271,8 @@ def likely(of: DataFrame, prints: DataFrame, radius: int = 3, sample_rows: int =
 def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, radius: int = 3) -> DataFrame:
     """Exactly one row of each group, that of the least id (of equal ids any, null ids last); all columns.
 
-    Groups are those of Jaccard num/den over shingles. SimHash and its vantage-point trees propose the links, at `radius` bits or fewer;
-    each is verified on the whole sets. Similar texts whose fingerprints are further apart are found by the exact join (docjoin),
+    Groups are those of Jaccard num/den over shingles. SimHash, of 3-word shingles as op10's, and its vantage-point trees propose links, at
+    `radius` bits or fewer; each is verified on the whole sets. Similar texts whose fingerprints are further apart are found by the exact join (docjoin),
     among what is not linked yet. Rows are told apart by a number of their own, so repeated and null ids are rows like others.
     """
     from tickvet.llm import docjoin
@@ -280,7 +280,7 @@ def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, radi
 
     row = "row_" + "_".join(docs.columns)  # no column's name
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    prints = materialize(fingerprints(numbered.select(F.col(row).alias("doc_id"), "text"), width))
+    prints = materialize(fingerprints(numbered.select(F.col(row).alias("doc_id"), "text")))
     found = docjoin.groups(numbered, row, width, num, den, proposed=lambda of: likely(of, prints, radius))
     ids = numbered.select(F.col(row).alias("key"), F.col("doc_id").cast("long").alias("id"))
     placed = found.join(ids, "key").select("key", "root", F.struct(F.col("id").isNull(), "id", "key").alias("place"))
