@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickvet.llm import bestfit, edit_decontam, ftrl, importance, linejoin, linkrank, oph, ppm, simhash, unigram_count
+from tickvet.llm import bestfit, edit_decontam, ftrl, importance, linejoin, linkrank, metricjoin, oph, ppm, simhash, tokenalign, unigram_count, whiten
 
 BPE_FILE, UNIGRAM_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -62,6 +63,18 @@ def op10(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11(spark, sf_dir):
+    return metricjoin.groups(_table(spark, sf_dir, "documents"))
+
+
+def op12(spark, sf_dir):
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13(spark, sf_dir):
+    return tokenalign.align(_table(spark, sf_dir, "documents"), vocabulary(BPE_FILE), vocabulary(PIECE_FILE))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -79,6 +92,9 @@ QUERIES = {
     "op8_best_fit_packing": op8,
     "op9_ftrl_toxicity": op9,
     "op10_simhash_vantage": op10,
+    "op11_jaccard_metric_join": op11,
+    "op12_tsqr_whitening": op12,
+    "op13_token_alignment": op13,
     "pipeline": pipeline,
 }
 
