@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickvet.llm import bestfit
 from tickvet.llm.common import materialize, mix, slices
 
 
@@ -41,6 +42,8 @@ class Encoders:
 
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True  # their strings in texts are plain text
+        self.special = [t.content for t in self.a.get_added_tokens_decoder().values()]
+        self.plain = bestfit._encoder(a_file)  # faster; it takes special tokens' strings for tokens
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         of_char = _byte_of_char()
         a_bytes = {i: bytes(of_char[c] for c in t) if all(c in of_char for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
@@ -54,12 +57,12 @@ class Encoders:
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A and of B of each text; none where either's bytes are not a space and the text."""
         none = np.zeros(0, np.int32)
-        some = [i for i, t in enumerate(texts) if t]
         a, b = [none] * len(texts), [none] * len(texts)
-        if some:
-            of_a = self.a.encode_batch_fast([" " + texts[i] for i in some], add_special_tokens=False)
-            for i, x in zip(some, of_a, strict=True):
-                ids_a, ids_b, whole = x.ids, self.b.encode(texts[i]), b" " + texts[i].encode()
+        for i, text in enumerate(texts):
+            if text:
+                spaced = " " + text
+                ids_a = self.a.encode(spaced, add_special_tokens=False).ids if any(t in spaced for t in self.special) else self.plain(spaced)
+                ids_b, whole = self.b.encode(text), spaced.encode()
                 if b"".join(map(self.a_bytes.__getitem__, ids_a)) == whole and b"".join(map(self.b_bytes.__getitem__, ids_b)) == whole:
                     a[i], b[i] = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
         return a, b

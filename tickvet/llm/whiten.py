@@ -128,7 +128,7 @@ def r_factor(fit: DataFrame, dim: int, n: int, sums: list[int], fan_in: int = 16
     level = materialize(fit.select("x").mapInArrow(leaf, "part long, r binary"))
     while (many := level.count()) > 1:
         # Parts have gaps, so they are dealt by their number modulo the number of merges, which shrinks all the same.
-        merged = materialize(level.groupBy(F.pmod("part", F.lit(-(-many // fan_in))).alias("part")).applyInArrow(merge, "part long, r binary"))
+        merged = materialize(level.withColumn("part", F.pmod("part", F.lit(-(-many // fan_in)))).groupBy("part").applyInArrow(merge, "part long, r binary"))
         discard(level)
         level = merged
     found = collected(level)
