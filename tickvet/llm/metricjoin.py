@@ -8,14 +8,17 @@ shingle). The Jaccard distance 1 - both / either is a metric; two documents link
    of their own tell them apart. A set is 1 - 1/n from each of its shingles and 1 from all others, so its nearest pivots tie; the tie goes to the rarest shingle.
    A partner within r misses at most n - ceil(n num/den) of a set's shingles, so it is found in the cells of the n - ceil(n num/den) + 1
    rarest: to these a set is replicated. Cells of one class have no pairs.
-3. A cell of more than `leaf` classes is split by document pivots out of it (the least of `pivots` hash buckets, the same hash in all
-   cells, so that cells of alike documents share pivots). Distances to them are exact. With D the distance to the nearest pivot and t = 1 - 2r,
-   a class of D <= t has that pivot's Voronoi cell as home, others the cell of the rest. By the triangle inequality a partner of a class at home with p
-   is within min(its D + 2r, t + r) of p: in all such windows a class is replicated. So each linking pair meets in a cell, which
-   is split again if it is still large. Classes linked with a pivot are of one component; a cell of one component is done.
-4. Cells of `leaf` classes or fewer, and those that a split left nearly whole, are joined: pairs of unlike components that pass the
+3. Star rounds: the members of each cell are compared with one pivot out of it (of the least hash, the same in all cells, so that cells of alike
+   documents share pivots). That settles large groups of near copies by about one pair a class; a cell of one component is done.
+4. A cell of more than `leaf` classes is split by document pivots out of it (the least of `pivots` hash buckets). Distances to them are exact, where
+   length and bitmap do not show them to be far. With D the distance to the nearest pivot and t = 3r, a class of D <= t has that pivot's Voronoi
+   cell as home, others the cell of the rest. By the triangle inequality a partner of a class at home with p is within min(its D + 2r, t + r)
+   of p: in all such windows a class is replicated. So each linking pair meets in a cell, which is split again if it is still large.
+5. Cells of `leaf` classes or fewer, and those that a split left nearly whole, are joined: pairs of unlike components that pass the
    length window, the window |d(a, p) - d(b, p)| <= r of their pivot and the parity bitmap (bits that differ are at most
-   the shingles of one set only) are verified on the whole sets.
+   the shingles of one set only).
+6. Pairs, of stars too, are verified in two steps: on the rarest shingles (up to where the first of two prefixes ends, all shared shingles are in both, so that
+   a known number of them must be shared), then on the whole sets, which are made for these classes only.
 
 Regions are keys of shuffles; nothing of a cell is held by one task but the rows of a sorted join, which Spark splits if they are skewed.
 Many documents alike by somewhat less than num/den cost a verification for each pair that passes the filters: no link settles them.
@@ -34,7 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickvet.llm.common import discard, materialize, mix, slices
@@ -97,7 +100,7 @@ def first_cells(of: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, of: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(c, h): the shingles of the wanted classes; materialised."""
+    """(c, n, h): the shingles of the wanted classes; materialised."""
 
     def each(batches):
         for batch in slices(batches):
@@ -111,91 +114,144 @@ def sets_of(docs: DataFrame, of: DataFrame, wanted: DataFrame, width: int) -> Da
     told = maybe_in(bits, key)
     some = docs.filter(told if ids.filter("key IS NULL").isEmpty() else key.isNull() | told)
     found = some.select("text").mapInArrow(each, "c long, h array<long>").join(wanted, "c", "left_semi")
-    out = materialize(found.groupBy("c").agg(F.any_value("h").alias("h")))
+    out = materialize(found.groupBy("c").agg(F.any_value("h").alias("h")).select("c", F.size("h").cast("long").alias("n"), "h"))
     discard(ids, bits)
     return out
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, at_once: int = 512) -> DataFrame:
-    """(a, b, both, either) of pairs of classes: sizes of intersection and union; materialised.
+    """(a, b, na, nb, both) of pairs of classes: set sizes n, and how many of their h are common; materialised.
 
     A class b of many pairs is dealt to a task for every at_once of them.
     """
-    pairs = materialize(pairs)
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / at_once).cast("int").alias("parts"))
     asked = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-    held = sets.join(parts, sets.c == parts.b).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h").alias("hb"))
-    joined = asked.join(held, ["b", "part"]).join(sets.select(F.col("c").alias("a"), F.col("h").alias("ha")), "a")
-    both = joined.select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("both"), (F.size("ha") + F.size("hb")).cast("long").alias("sum"))
-    out = materialize(both.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either")))
-    discard(pairs)
-    return out
+    held = sets.join(parts, sets.c == parts.b).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    joined = asked.join(held, ["b", "part"]).join(sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha")), "a")
+    return materialize(joined.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("both")))
 
 
-def _close(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of classes of unlike components in cells that length, pivot window and bitmap do not part."""
-    band = F.floor(F.log("n") / (math.log(den / num) * (1 + EPS)))  # lengths that fit are in one band or in two next to each other
-    rows = cells.withColumn("band", band)
-    a = rows.select("region", F.col("band").alias("at"), F.col("band").alias("band_a"), *(F.col(k).alias(f"{k}_a") for k in ("c", "n", "d", "root", *SKETCH)))
-    b = rows.select("region", F.explode(F.array("band", F.col("band") - 1)).alias("at"), F.col("band").alias("band_b"), *(F.col(k).alias(f"{k}_b") for k in ("c", "n", "d", "root", *SKETCH)))
-    apart = sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    fits = (
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+
+
+class Sets:
+    """Rarest shingles and whole sets of the classes that are asked for."""
+
+    def __init__(self, docs: DataFrame, of: DataFrame, width: int, num: int, den: int):
+        self.docs, self.of, self.width, self.num, self.den = docs, of, width, num, den
+
+    def distances(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, na, nb, both) of materialised pairs, on the whole sets."""
+        wanted = materialize(_named(pairs))
+        sets = sets_of(self.docs, self.of, wanted, self.width)
+        out = overlaps(pairs, sets)
+        discard(wanted, sets)
+        return out
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs that link; materialised."""
+        num, den = self.num, self.den
+        pairs = materialize(pairs)
+        wanted = materialize(_named(pairs))
+        bits = bitmap(wanted, "c")
+        rare = materialize(self.of.filter(maybe_in(bits, F.col("c"))).join(wanted, "c", "left_semi").groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("h")))
+        need = lambda n: F.expr(f"{n} - ({n} * {num} + {den - 1}) div {den} + 1 - ({n} - ((na + nb) * {num} + {num + den - 1}) div {num + den})")
+        shared = overlaps(pairs, rare)
+        likely = materialize(shared.filter(F.col("both") >= F.least(need("na"), need("nb"))).select("a", "b"))
+        found = self.distances(likely)
+        out = materialize(found.filter(linked(num, den)).select("a", "b"))
+        discard(pairs, wanted, bits, rare, shared, likely, found)
+        return out
+
+
+def linked(num: int, den: int) -> Column:
+    return F.col("both") * (num + den) >= (F.col("na") + F.col("nb")) * num
+
+
+def _apart() -> Column:
+    """Bits that differ of two bitmaps, at most the shingles of one set only."""
+    return sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+
+
+def _fits(num: int, den: int) -> Column:
+    return (
         (F.col("root_a") != F.col("root_b"))
-        & ((F.col("band_a") != F.col("band_b")) | (F.col("c_a") < F.col("c_b")))
         & (F.col("n_a") * num <= F.col("n_b") * den)
         & (F.col("n_b") * num <= F.col("n_a") * den)
-        & (apart * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-        & (F.coalesce(F.abs(F.col("d_a") - F.col("d_b")), F.lit(0.0)) <= 1 - num / den + EPS)
+        & (_apart() * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num))
     )
-    pairs = a.hint("merge").join(b, ["region", "at"]).filter(fits)
+
+
+def star(cells: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """(a, b): each class of a cell with the cell's pivot b, if they may link."""
+    pivot = F.min(F.struct(F.xxhash64("c", F.lit(turn)), *(F.col(k).alias(f"{k}_b") for k in ("c", "n", "root", *SKETCH))))
+    chosen = cells.groupBy("region").agg(pivot.alias("y")).select("region", "y.*")
+    members = cells.select("region", *(F.col(k).alias(f"{k}_a") for k in ("c", "n", "root", *SKETCH)))
+    return members.join(chosen, "region").filter(_fits(num, den)).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+
+
+def close(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of classes of a cell that may link."""
+    band = F.floor(F.log("n") / (math.log(den / num) * (1 + EPS)))  # lengths that fit are in one band or in two next to each other
+    rows = cells.withColumn("band", band)
+    kept = ("c", "n", "d", "root", *SKETCH)
+    a = rows.select("region", F.col("band").alias("at"), F.col("band").alias("band_a"), *(F.col(k).alias(f"{k}_a") for k in kept))
+    b = rows.select("region", F.explode(F.array("band", F.col("band") - 1)).alias("at"), F.col("band").alias("band_b"), *(F.col(k).alias(f"{k}_b") for k in kept))
+    once = (F.col("band_a") != F.col("band_b")) | (F.col("c_a") < F.col("c_b"))
+    window = F.coalesce(F.abs(F.col("d_a") - F.col("d_b")), F.lit(0.0)) <= 1 - num / den + EPS
+    pairs = a.hint("merge").join(b, ["region", "at"]).filter(once & _fits(num, den) & window)
     return pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
 
 
-def split(large: DataFrame, sets: DataFrame, turn: int, num: int, den: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+def split(large: DataFrame, sets: Sets, turn: int, num: int, den: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """The next cells of large cells, and the links found with their pivots; both materialised."""
     r = 1 - num / den
-    t = 1 - 2 * r
-    order = F.struct(F.xxhash64("c", F.lit(turn)).alias("x"), F.col("c").alias("p"), F.col("n").alias("n_p"))
-    chosen = materialize(large.groupBy("region", F.pmod(F.xxhash64(F.lit(turn), "c"), F.lit(pivots)).alias("bucket")).agg(F.min(order).alias("y")).select("region", "y.p", "y.n_p"))
-    asked = large.select("region", "c", "n").join(chosen, "region")
-    far = F.greatest("n", "n_p") * (t + r) < F.greatest("n", "n_p") - F.least("n", "n_p") - EPS  # by length alone
-    wanted = asked.filter(~far & (F.col("c") != F.col("p"))).select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
-    found = overlaps(wanted, sets)
-    links = found.filter(F.col("both") * den >= F.col("either") * num).select("a", "b")
-    away = found.select(F.col("a").alias("c"), F.col("b").alias("p"), (1 - F.col("both") / F.col("either")).alias("away"))
-    d = F.when(F.col("c") == F.col("p"), F.lit(0.0)).otherwise(F.coalesce("away", F.lit(1.0)))
-    seen = asked.join(away, ["c", "p"], "left").groupBy("region", "c").agg(F.collect_list(F.struct("p", d.alias("d"))).alias("seen"), F.min(d).alias("nearest"))
+    t = min(3 * r, 1 - 2 * r)
+    order = F.struct(F.xxhash64("c", F.lit(turn)), *(F.col(k).alias(f"{k}_b") for k in ("c", "n", *SKETCH)))
+    chosen = large.groupBy("region", F.pmod(F.xxhash64(F.lit(turn), "c"), F.lit(pivots)).alias("bucket")).agg(F.min(order).alias("y")).select("region", "y.*")
+    members = large.select("region", *(F.col(k).alias(f"{k}_a") for k in ("c", "n", *SKETCH)))
+    total, most, least = F.col("n_a") + F.col("n_b"), F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
+    bound = F.greatest((most - least) / most, 2 * _apart() / (total + _apart()))  # the distance is this at least
+    asked = materialize(members.join(chosen, "region").select("region", F.col("c_a").alias("a"), F.col("c_b").alias("b"), (bound > t + r + EPS).alias("far")))
+    wanted = materialize(asked.filter("NOT far AND a <> b").select("a", "b").distinct())
+    found = sets.distances(wanted)
+    links = materialize(found.filter(linked(num, den)).select("a", "b"))
+    away = found.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("away"))
+    d = F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(F.coalesce("away", F.lit(1.0)))
+    seen = asked.join(away, ["a", "b"], "left").groupBy("region", "a").agg(F.collect_list(F.struct("b", d.alias("d"))).alias("seen"), F.min(d).alias("nearest"))
     window = F.least(F.col("nearest") + 2 * r, F.lit(t + r)) + EPS
     near = F.filter("seen", lambda x: x["d"] <= window)
-    rest = F.when(F.col("nearest") > t, F.array(F.struct(F.lit(None).cast("long").alias("p"), F.lit(None).cast("double").alias("d")))).otherwise(F.array())
-    cells = seen.select(F.col("region").alias("of"), "c", F.explode(F.concat(near, rest)).alias("y"))
+    rest = F.when(F.col("nearest") > t, F.array(F.struct(F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("d")))).otherwise(F.array())
+    placed = seen.select(F.col("region").alias("of"), F.col("a").alias("c"), F.explode(F.concat(near, rest)).alias("y"))
     carried = large.select(F.col("region").alias("of"), "c", "n", *SKETCH, F.col("size").alias("parent"))
-    cells = cells.join(carried, ["of", "c"]).select(F.xxhash64("of", F.coalesce("y.p", F.lit(0)), F.col("y.p").isNull(), F.lit(turn)).alias("region"), "c", "n", *SKETCH, "y.d", "parent")
-    cells = materialize(cells)
-    discard(chosen)
+    cell = F.xxhash64("of", F.coalesce("y.b", F.lit(0)), F.col("y.b").isNull(), F.lit(turn))
+    cells = materialize(placed.join(carried, ["of", "c"]).select(cell.alias("region"), "c", "n", *SKETCH, "y.d", "parent"))
+    discard(asked, wanted, found)
     return cells, links
 
 
-def classes_linked(docs: DataFrame, of: DataFrame, width: int, num: int, den: int, leaf: int, pivots: int) -> DataFrame | None:
-    """(node, root) of the classes that link with another; None if none do."""
-    cells = first_cells(of)
-    if cells.isEmpty():
+def classes_linked(docs: DataFrame, of: DataFrame, width: int, num: int, den: int, leaf: int, pivots: int, stars: int) -> DataFrame | None:
+    """(node, root) of the classes that link with another; None if no two classes meet."""
+    first = first_cells(of)
+    if first.isEmpty():
         return None
-    sets = sets_of(docs, of, cells.select("c").distinct(), width)
-    cells = cells.withColumn("d", F.lit(None).cast("double")).withColumn("parent", F.lit(None).cast("long"))
-    roots, edges, turn = None, None, 0
+    cells = first.withColumn("d", F.lit(None).cast("double")).withColumn("parent", F.lit(None).cast("long"))
+    sets, roots, edges, turn = Sets(docs, of, width, num, den), None, None, 0
     while True:
         named = cells.withColumn("root", F.col("c")) if roots is None else cells.join(roots, cells.c == roots.node, "left").select(*cells.columns, F.coalesce("root", "c").alias("root"))
         sizes = named.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("region", "size")
         live = materialize(named.join(sizes, "region"))
-        whole = (F.col("size") <= leaf) | F.coalesce(F.col("size") * 5 > F.col("parent") * 4, F.lit(False))
-        near = overlaps(_close(live.filter(whole), num, den), sets)
-        links = near.filter(F.col("both") * den >= F.col("either") * num).select("a", "b")
-        large = live.filter(~whole)
-        last = large.isEmpty()
-        if not last:
-            cells, more = split(large, sets, turn, num, den, pivots)
-            links = links.unionByName(more)
+        last = False
+        if turn < stars:
+            links, cells = sets.verified(star(live, turn, num, den)), live.drop("root", "size")
+        else:
+            whole = (F.col("size") <= leaf) | F.coalesce(F.col("size") * 5 > F.col("parent") * 4, F.lit(False))
+            links, large = sets.verified(close(live.filter(whole), num, den)), live.filter(~whole)
+            last = large.isEmpty()
+            if not last:
+                cells, more = split(large, sets, turn, num, den, pivots)
+                links = links.unionByName(more)
         edges = links if edges is None else edges.unionByName(links)
         roots = components(edges)
         if last:
@@ -203,15 +259,15 @@ def classes_linked(docs: DataFrame, of: DataFrame, width: int, num: int, den: in
         turn += 1
 
 
-def groups(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, leaf: int = 16, pivots: int = 4, sample_rows: int = 10_000) -> DataFrame:
+def groups(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, leaf: int = 256, pivots: int = 4, stars: int = 1, sample_rows: int = 10_000) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id (the least id reachable by links) of every document.
 
-    leaf, pivots and sample_rows (documents whose shingles are counted, to order shingles by rarity) change the work, not the result.
+    leaf, pivots, stars and sample_rows (documents whose shingles are counted, to order shingles by rarity) change the work, not the result.
     """
     share = min(1.0, sample_rows / max(docs.count(), 1))
     of = prints(docs, width, num, den, common_shingles(docs, width, share))
     named = of.filter("n > 0").groupBy("c").agg(F.min("key").alias("least"))
-    roots = classes_linked(docs, of, width, num, den, leaf, pivots)
+    roots = classes_linked(docs, of, width, num, den, leaf, pivots, stars)
     named = named.withColumn("root", F.col("c")) if roots is None else named.join(roots, named.c == roots.node, "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     named = materialize(named)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
