@@ -4,10 +4,11 @@ A document is the set of its 3-word shingles (A-Z lower-cased, words as white sp
 shingle). The Jaccard distance 1 - both / either is a metric; two documents link at a distance of r = 1 - num/den or less.
 
 1. Equal sets are one class; the join is over classes.
-2. First pivots are single shingles: in whole-set distance most documents are 1 away from any document, so that only shingles
-   of their own tell them apart. A set is 1 - 1/n from each of its shingles and 1 from all others, so its nearest pivots tie; the tie goes to the rarest shingle.
-   A partner within r misses at most n - ceil(n num/den) of a set's shingles, so it is found in the cells of the n - ceil(n num/den) + 1
-   rarest: to these a set is replicated. Cells of one class have no pairs.
+2. In whole-set distance most documents are 1 away from any document, and no pivot tells them apart. So the first pivots are restrictions to
+   parts of the shingle universe. Two linking sets differ in e = floor((na + nb) (den - num) / (den + num)) shingles at most; where the
+   universe is cut by hash into more than e parts, they are equal on one of them: at distance 0 from the same pivot. A cell is a part and a
+   restriction to it (some eight shingles). Lengths are cut into bands of a ratio num/den; a set is in the cells of its band with the next and with
+   the one before, so every pair that can link has the same parts somewhere. Empty restrictions are left out where enough others are there. Cells of one class have no pairs.
 3. Star rounds: the members of each cell are compared with one pivot out of it (of the least hash, the same in all cells, so that cells of alike
    documents share pivots). That settles large groups of near copies by about one pair a class; a cell of one component is done.
 4. A cell of more than `leaf` classes is split by document pivots out of it (the least of `pivots` hash buckets). Distances to them are exact, where
@@ -17,8 +18,7 @@ shingle). The Jaccard distance 1 - both / either is a metric; two documents link
 5. Cells of `leaf` classes or fewer, and those that a split left nearly whole, are joined: pairs of unlike components that pass the
    length window, the window |d(a, p) - d(b, p)| <= r of their pivot and the parity bitmap (bits that differ are at most
    the shingles of one set only).
-6. Pairs, of stars too, are verified in two steps: on the rarest shingles (up to where the first of two prefixes ends, all shared shingles are in both, so that
-   a known number of them must be shared), then on the whole sets, which are made for these classes only.
+6. Pairs, of stars too, are verified on the whole sets, which are made for the classes of such pairs only.
 
 Regions are keys of shuffles; nothing of a cell is held by one task but the rows of a sorted join, which Spark splits if they are skewed.
 Many documents alike by somewhat less than num/den cost a verification for each pair that passes the filters: no link settles them.
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickvet.llm.common import discard, materialize, mix, slices
-from tickvet.llm.docjoin import common_shingles, prefix_size, shingle_sets
+from tickvet.llm.docjoin import shingle_sets
 from tickvet.llm.linejoin import bitmap, maybe_in
 from tickvet.llm.simhash import components
 
@@ -63,34 +63,54 @@ def _sketch(s: np.ndarray, of: np.ndarray, rows: int) -> list[np.ndarray]:
     return out
 
 
-def prints(docs: DataFrame, width: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, c, n, s0..s3, tokens) of every document: class, set size, bitmap, rarest shingles; materialised."""
-    held = docs.sparkSession.sparkContext.broadcast(common)
+def _band_width(num: int, den: int) -> float:
+    return math.log(den / num) * (1 + EPS)
+
+
+def _cells(s: np.ndarray, of: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """First cells by row, and how many each row has. s: distinct shingles of rows `of`, n of each row."""
+    width, rows = _band_width(num, den), len(n)
+    band = np.floor(np.log(np.maximum(n, 1)) / width).astype(np.int64)
+    value, place = mix(s), mix(s ^ np.uint64(0x632BE59BD9B4E019))
+    out, out_row = [], []
+    for level in (band, band - 1):  # bands level and level + 1 meet
+        longest = np.ceil(np.exp(width * (level + 2)))
+        e = np.where(n > 0, np.floor(2 * longest * (den - num) / (den + num)), 0).astype(np.int64)
+        parts = np.where(e > 0, e + 2 + e // 64, 0)  # e = 0: only equal sets link
+        begin = np.cumsum(parts) - parts
+        mine = np.flatnonzero(e[of] > 0)
+        at = begin[of[mine]] + (place[mine] % parts[of[mine]].astype(np.uint64)).astype(np.int64)
+        total, many = np.zeros(parts.sum(), np.uint64), np.bincount(at, minlength=parts.sum())
+        np.add.at(total, at, value[mine])
+        row = np.repeat(np.arange(rows), parts)
+        part = np.arange(len(row)) - begin[row]
+        full = np.bincount(row[many > 0], minlength=rows)
+        keep = (many > 0) | (full <= e)[row]  # more full parts than e: one of the equal ones is full
+        name = mix((level[row] + 1).astype(np.uint64) << np.uint64(40) | part.astype(np.uint64))
+        out.append(mix(total + mix(many.astype(np.uint64)) ^ name)[keep])
+        out_row.append(row[keep])
+    cell, row = np.concatenate(out), np.concatenate(out_row)
+    return cell[np.argsort(row, kind="stable")].view(np.int64), np.bincount(row, minlength=rows)
+
+
+def prints(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(key, c, n, s0..s3, cells) of every document: class, set size, bitmap, first cells; materialised."""
 
     def each(batches):
-        hot, levels = held.value
         for batch in slices(batches):
             s, of, c = shingle_sets(batch, width)
             n = np.bincount(of, minlength=batch.num_rows)
-            level = np.zeros(len(s), np.int64)
-            if len(hot) and len(s):
-                at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                level = np.where(hot[at] == s, levels[at], 0)
-            sketch = _sketch(s, of, batch.num_rows)
-            order = np.lexsort((s, level, of))
-            place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
-            size = np.where(n > 0, prefix_size(n, num, den), 0)
-            tokens = s[order][place < size[of]].view(np.int64)
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(c), pa.array(n.astype(np.int64)), *map(pa.array, sketch), tokens], ["key", "c", "n", *SKETCH, "tokens"])
+            cells, many = _cells(s, of, n, num, den)
+            cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(cells))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(c), pa.array(n.astype(np.int64)), *map(pa.array, _sketch(s, of, batch.num_rows)), cells], ["key", "c", "n", *SKETCH, "cells"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
-    return materialize(rows.mapInArrow(each, f"key long, c long, n long, {', '.join(x + ' long' for x in SKETCH)}, tokens array<long>"))
+    return materialize(rows.mapInArrow(each, f"key long, c long, n long, {', '.join(x + ' long' for x in SKETCH)}, cells array<long>"))
 
 
 def first_cells(of: DataFrame) -> DataFrame:
-    """(region, c, n, s0..s3): the cells of single shingles that several classes have; materialised."""
-    posted = of.select(F.explode("tokens").alias("region"), "c", "n", *SKETCH)
+    """(region, c, n, s0..s3): the first cells that several classes have; materialised."""
+    posted = of.select(F.explode("cells").alias("region"), "c", "n", *SKETCH)
     met = materialize(posted.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("region"))
     bits = bitmap(met, "region")
     near = posted.filter(maybe_in(bits, F.col("region")))
@@ -136,13 +156,13 @@ def _named(pairs: DataFrame) -> DataFrame:
 
 
 class Sets:
-    """Rarest shingles and whole sets of the classes that are asked for."""
+    """Whole sets of the classes that are asked for."""
 
     def __init__(self, docs: DataFrame, of: DataFrame, width: int, num: int, den: int):
         self.docs, self.of, self.width, self.num, self.den = docs, of, width, num, den
 
     def distances(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, na, nb, both) of materialised pairs, on the whole sets."""
+        """(a, b, na, nb, both) of materialised pairs."""
         wanted = materialize(_named(pairs))
         sets = sets_of(self.docs, self.of, wanted, self.width)
         out = overlaps(pairs, sets)
@@ -151,17 +171,10 @@ class Sets:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs that link; materialised."""
-        num, den = self.num, self.den
         pairs = materialize(pairs)
-        wanted = materialize(_named(pairs))
-        bits = bitmap(wanted, "c")
-        rare = materialize(self.of.filter(maybe_in(bits, F.col("c"))).join(wanted, "c", "left_semi").groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("h")))
-        need = lambda n: F.expr(f"{n} - ({n} * {num} + {den - 1}) div {den} + 1 - ({n} - ((na + nb) * {num} + {num + den - 1}) div {num + den})")
-        shared = overlaps(pairs, rare)
-        likely = materialize(shared.filter(F.col("both") >= F.least(need("na"), need("nb"))).select("a", "b"))
-        found = self.distances(likely)
-        out = materialize(found.filter(linked(num, den)).select("a", "b"))
-        discard(pairs, wanted, bits, rare, shared, likely, found)
+        found = self.distances(pairs)
+        out = materialize(found.filter(linked(self.num, self.den)).select("a", "b"))
+        discard(pairs, found)
         return out
 
 
@@ -193,7 +206,7 @@ def star(cells: DataFrame, turn: int, num: int, den: int) -> DataFrame:
 
 def close(cells: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): pairs of classes of a cell that may link."""
-    band = F.floor(F.log("n") / (math.log(den / num) * (1 + EPS)))  # lengths that fit are in one band or in two next to each other
+    band = F.floor(F.log("n") / _band_width(num, den))  # lengths that fit are in one band or in two next to each other
     rows = cells.withColumn("band", band)
     kept = ("c", "n", "d", "root", *SKETCH)
     a = rows.select("region", F.col("band").alias("at"), F.col("band").alias("band_a"), *(F.col(k).alias(f"{k}_a") for k in kept))
@@ -259,13 +272,12 @@ def classes_linked(docs: DataFrame, of: DataFrame, width: int, num: int, den: in
         turn += 1
 
 
-def groups(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, leaf: int = 256, pivots: int = 4, stars: int = 1, sample_rows: int = 10_000) -> DataFrame:
+def groups(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, leaf: int = 256, pivots: int = 4, stars: int = 1) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id (the least id reachable by links) of every document.
 
-    leaf, pivots, stars and sample_rows (documents whose shingles are counted, to order shingles by rarity) change the work, not the result.
+    leaf, pivots and stars change the work, not the result.
     """
-    share = min(1.0, sample_rows / max(docs.count(), 1))
-    of = prints(docs, width, num, den, common_shingles(docs, width, share))
+    of = prints(docs, width, num, den)
     named = of.filter("n > 0").groupBy("c").agg(F.min("key").alias("least"))
     roots = classes_linked(docs, of, width, num, den, leaf, pivots, stars)
     named = named.withColumn("root", F.col("c")) if roots is None else named.join(roots, named.c == roots.node, "left").select("c", "least", F.coalesce("root", "c").alias("root"))
