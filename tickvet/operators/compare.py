@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickvet.functions import DAY_MS, finite, utc_day
 from tickvet.operators.catalog import COMPARE_RULES
-from tickvet.operators.engine import Config, collapse, planned, scores
+from tickvet.operators.engine import OCCURRENCES, Config, collapse, computed, scores
 from tickvet.operators.tables import MarketTables
 from tickvet.shared import written
 
@@ -142,8 +142,9 @@ COMPARES = {
 def compare(t: PairTables, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(reports, findings) of all pairs. Sources of equal name are told apart as `name (A)` and `name (B)`. All rules run here."""
     t = PairTables(written(t.pairs), t.tables.written(), cache=True)
-    found = planned(COMPARE_RULES, COMPARES, config.compare_rules, t)
-    findings = written(collapse(found, COMPARE_RULES, config.compare_rules))
+    findings = computed(COMPARE_RULES, COMPARES, config.compare_rules, t)
+    if findings is None:
+        findings = collapse(t.pairs.sparkSession.createDataFrame([], OCCURRENCES), COMPARE_RULES, config.compare_rules)
     d = t.tables.datasets.select("dataset_id", "symbol", "source")
     named = t.pairs.join(d.select(col("dataset_id").alias("a_id"), "symbol", col("source").alias("sa")), "a_id").join(d.select(col("dataset_id").alias("b_id"), col("source").alias("sb")), "b_id")
     same = col("sa") == col("sb")

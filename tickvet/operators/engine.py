@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickvet.operators.catalog import ACTIONS, CHECK_RULES, COMPARE_RULES, PENALTIES, REFERENCES, SEVERITIES, Rule, order_of
-from tickvet.operators.rules import CHECKS
+from tickvet.operators.rules import CHECKS, RowRule, row_occurrences
 from tickvet.operators.tables import MarketTables
 from tickvet.shared import written
 
@@ -34,16 +34,57 @@ def _lookup(key: Column, values: Mapping[str, object]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
 
 
+class RuleFailed(Exception):
+    """A rule that could not be planned or computed, by name."""
+
+    def __init__(self, rule: str, why: Exception):
+        super().__init__(f"rule {rule} failed: {why}")
+        self.rule = rule
+
+
+def _enabled(rules: Mapping[str, Rule], checks: Mapping[str, Callable], overrides: Mapping[str, Override]) -> dict[str, tuple[Callable, dict]]:
+    chosen = ((id_, check, overrides.get(id_, Override())) for id_, check in checks.items())
+    return {id_: (check, {**rules[id_].params, **o.params}) for id_, check, o in chosen if o.enabled}
+
+
 def planned(rules: Mapping[str, Rule], checks: Mapping[str, Callable], overrides: Mapping[str, Override], tables) -> DataFrame | None:
-    """The union of all enabled rules' occurrences; disabled rules are not planned at all. None if no rule is enabled."""
-    parts = []
-    for id_, check in checks.items():
-        o = overrides.get(id_, Override())
-        if o.enabled:
-            parts.append(check(tables, {**rules[id_].params, **o.params}))
+    """All enabled rules' occurrences; disabled rules are not planned at all. None if no rule is enabled.
+
+    Rules that look at rows of one table share a scan of it; only the others are branches of their own.
+    """
+    by_source, parts = {}, []
+    for id_, (check, params) in _enabled(rules, checks, overrides).items():
+        if isinstance(check, RowRule):
+            try:
+                check.hits(params), check.columns(params)
+            except Exception as e:
+                raise RuleFailed(id_, e) from e
+            by_source.setdefault("enriched" if check.source == "bars" else check.source, []).append((check, params))
+        else:
+            try:
+                parts.append(check(tables, params))
+            except Exception as e:
+                raise RuleFailed(id_, e) from e
+    parts += [row_occurrences(tables, source, together) for source, together in by_source.items()]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def computed(rules: Mapping[str, Rule], checks: Mapping[str, Callable], overrides: Mapping[str, Override], tables) -> DataFrame | None:
+    """Findings of all enabled rules, written; None if no rule is enabled. If it fails, the first rule that fails alone is named."""
+    try:
+        found = planned(rules, checks, overrides, tables)
+        return written(collapse(found, rules, overrides)) if found is not None else None
+    except RuleFailed:
+        raise
+    except Exception as e:
+        for id_, (check, params) in _enabled(rules, checks, overrides).items():
+            try:
+                check(tables, params).write.format("noop").mode("overwrite").save()
+            except Exception as why:
+                raise RuleFailed(id_, why) from e
+        raise
+
+
 def collapse(found: DataFrame, rules: Mapping[str, Rule], overrides: Mapping[str, Override]) -> DataFrame:
     """One finding for each dataset and rule: its first occurrence, and how many there are."""
     first = F.min_by(F.struct("severity", "where_date", "value", "evidence"), F.struct("k1", "k2"))
@@ -73,24 +114,21 @@ def score_band(score: Column) -> Column:
     return F.when(score >= 90, "reliable").when(score >= 70, "usable with caution").when(score >= 40, "suspicious").otherwise("not fit for production")
 
 
-def check_occurrences(tables: MarketTables, config: Config = Config()) -> DataFrame:
-    found = planned(CHECK_RULES, CHECKS, config.rules, tables)
-    return found if found is not None else tables.datasets.sparkSession.createDataFrame([], OCCURRENCES)
-
-
 def check(tables: MarketTables, config: Config = Config(), invalid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(reports, findings) of all datasets. invalid: structural findings; their datasets take no part in the rules.
 
     All rules run here, in one job over tables written once; the findings are written, so both results are cheap to read.
     """
-    tables = tables.written()
+    tables = tables.written(bars=False)  # rules see bars only through enriched, which is written
     if invalid is not None:
         bad = invalid.select("dataset_id").distinct()
         keep = lambda df: df.join(bad, "dataset_id", "left_anti")
-        valid = MarketTables(keep(tables.datasets), keep(tables.bars), keep(tables.dividends), keep(tables.splits)).written()
+        valid = MarketTables(keep(tables.datasets), keep(tables.bars), keep(tables.dividends), keep(tables.splits)).written(bars=False)
     else:
         valid = tables
-    findings = written(collapse(check_occurrences(valid, config), CHECK_RULES, config.rules))
+    findings = computed(CHECK_RULES, CHECKS, config.rules, valid)
+    if findings is None:
+        findings = collapse(tables.datasets.sparkSession.createDataFrame([], OCCURRENCES), CHECK_RULES, config.rules)
     if invalid is not None:
         findings = findings.unionByName(invalid, allowMissingColumns=True)
     reports = scores(tables.datasets.select("dataset_id", "symbol", "source"), findings, "sanity_score")

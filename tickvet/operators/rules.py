@@ -1,12 +1,19 @@
 """The 29 rules over one dataset each: (tables, params) -> occurrences.
 
+A rule that looks at one row of a shared table (with its windows) is a RowRule: its occurrences are an array of the row.
+All such rules of a table are evaluated in one scan of it (row_occurrences); each can also be called alone. The others join
+or aggregate, and are functions.
+
 An occurrence has dataset_id, k1 and k2 (its place among the rule's occurrences), severity, where_date (null: whole
 dataset), value (the main measure) and evidence (JSON). Conditions are written so that NaN and null never fire them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickvet.functions import COUNTRY_EXCHANGES, DAY_MS, finite, isin_valid, middle, positive, split_label, spread, weekdays_between
@@ -24,6 +31,47 @@ def occurrences(df: DataFrame, rule: str, where: Column | None, value: Column, e
     )
 
 
+def hit(rule: str, when: Column, where: Column | None, value: Column, evidence: dict[str, Column], k1: Column | None = None, k2: Column | None = None, severity: Column | None = None) -> Column:
+    """The occurrence as a struct if `when` is true, else null."""
+    level = severity if severity is not None else lit(CHECK_RULES[rule].severity)
+    place = lambda k: (k if k is not None else lit(0)).cast("long")
+    fields = (
+        lit(rule).alias("rule"),
+        place(k1).alias("k1"),
+        place(k2).alias("k2"),
+        level.alias("severity"),
+        (where if where is not None else lit(None)).cast("string").alias("where_date"),
+        value.cast("double").alias("value"),
+        F.to_json(F.struct(*(v.alias(k) for k, v in evidence.items()))).alias("evidence"),
+    )
+    return F.when(when, F.struct(*fields))
+
+
+@dataclass(frozen=True)
+class RowRule:
+    """A rule over the rows of one shared table.
+
+    hits: from the parameters, the row's possible occurrences (null where there is none). columns: steps of helper columns
+    that hits need, each step over the one before; names are the rule's own.
+    """
+
+    source: str  # a table of MarketTables; with others, rules of bars are evaluated over enriched, which has their columns
+    hits: Callable[[Mapping[str, float]], list[Column]]
+    columns: Callable[[Mapping[str, float]], list[dict[str, Column]]] = lambda p: []
+
+    def __call__(self, t: MarketTables, p: Mapping[str, float]) -> DataFrame:
+        return row_occurrences(t, self.source, [(self, p)])
+
+
+def row_occurrences(t: MarketTables, source: str, rules: list[tuple[RowRule, Mapping[str, float]]]) -> DataFrame:
+    """The occurrences of all these rules, in one scan of their table."""
+    rows, steps = getattr(t, source), [rule.columns(p) for rule, p in rules]
+    for i in range(max(map(len, steps))):
+        rows = rows.withColumns({k: c for own in steps if i < len(own) for k, c in own[i].items()})
+    found = F.array_compact(F.array(*(h for rule, p in rules for h in rule.hits(p))))
+    return rows.select("dataset_id", F.explode(found).alias("o")).select("dataset_id", "o.*")
+
+
 def split_not_adjusted(t: MarketTables, p) -> DataFrame:
     hit = t.enriched.withColumn("ratio", split_label(col("ret"), p["tolerance"])).filter("ratio IS NOT NULL")
     near = F.abs(col("s.ex_t") - col("b.t")) <= p["splitWindowDays"] * DAY_MS
@@ -32,93 +80,143 @@ def split_not_adjusted(t: MarketTables, p) -> DataFrame:
     return occurrences(hit, "SPLIT_NOT_ADJUSTED", col("ts_raw"), col("ret"), {"return": F.round("ret", 4), "hypothesized_ratio": col("ratio"), "previous_close": col("p_close"), "close": col("close"), "volume_ratio": volumes}, col("seq"))
 
 
-def return_spike(t, p):
-    z = F.when(col("ret_mad") == 0, 0.0).otherwise(F.try_divide(0.6745 * (col("ret") - col("ret_median")), col("ret_mad")))
-    hit = t.enriched.filter((col("ret_count") >= p["minReturns"]) & finite(col("ret")) & (F.abs("ret") >= p["minReturnPct"])).withColumn("z", z)
-    hit = hit.filter((F.abs("z") > p["zscoreThreshold"]) & split_label(col("ret"), p["splitTolerance"]).isNull())
-    level = F.when((F.abs("z") >= 5) | (F.abs("ret") >= 0.08), CHECK_RULES["RETURN_SPIKE"].severity).otherwise("info")
-    return occurrences(hit, "RETURN_SPIKE", col("ts_raw"), col("z"), {"return": F.round("ret", 4), "modified_zscore": F.round("z", 2)}, col("seq"), severity=level)
+def _return_z() -> Column:
+    return F.when(col("ret_mad") == 0, 0.0).otherwise(F.try_divide(0.6745 * (col("ret") - col("ret_median")), col("ret_mad")))
+
+
+def _return_spike(p) -> list[Column]:
+    z = col("return_z")
+    when = (col("ret_count") >= p["minReturns"]) & finite(col("ret")) & (F.abs("ret") >= p["minReturnPct"]) & (F.abs(z) > p["zscoreThreshold"]) & split_label(col("ret"), p["splitTolerance"]).isNull()
+    level = F.when((F.abs(z) >= 5) | (F.abs("ret") >= 0.08), CHECK_RULES["RETURN_SPIKE"].severity).otherwise("info")
+    return [hit("RETURN_SPIKE", when, col("ts_raw"), z, {"return": F.round("ret", 4), "modified_zscore": F.round(z, 2)}, col("seq"), severity=level)]
 
 
-def price_spike_intraday(t, p):
+return_spike = RowRule("enriched", _return_spike, lambda p: [{"return_z": _return_z()}])
+
+
+def _near(p) -> list[dict[str, Column]]:
     w = int(p["window"])
     good = F.when(positive(col("close")), col("close"))
     near = F.concat(F.collect_list(good).over(by_seq().rowsBetween(-w, -1)), F.collect_list(good).over(by_seq().rowsBetween(1, w)))
-    b = t.enriched.withColumn("near", near).filter(col("p_seq").isNotNull() & col("n_seq").isNotNull() & finite(col("close")) & (F.size("near") >= 3))
-    b = b.withColumn("med", middle(col("near")))
-    b = b.withColumn("sigma", 1.4826 * spread(col("near"), col("med"))).filter("sigma > 0")
-    far = lambda c: F.abs(c - col("med")) > p["theta"] * col("sigma")
-    hit = b.filter(far(col("close")) & ~(finite(col("p_close")) & far(col("p_close"))) & (F.try_divide(F.abs(col("close") - col("med")), col("med")) >= p["minDeviationPct"]) & positive(col("n_close")) & ~far(col("n_close")))
-    away = F.try_divide(col("close") - col("med"), col("med")) * 100
-    return occurrences(hit, "PRICE_SPIKE_INTRADAY", col("ts_raw"), F.abs(away), {"close": col("close"), "neighborhood_median": col("med"), "deviation_pct": F.round(away, 2), "reverted_to": col("n_close")}, col("seq"))
+    inner = col("p_seq").isNotNull() & col("n_seq").isNotNull() & finite(col("close")) & (F.size("near") >= 3)
+    return [{"near": near}, {"near_med": F.when(inner, middle(col("near")))}, {"near_sigma": F.when(col("near_med").isNotNull(), 1.4826 * spread(col("near"), col("near_med")))}]
+
+
+def _price_spike(p) -> list[Column]:
+    med, sigma = col("near_med"), col("near_sigma")
+    far = lambda c: F.abs(c - med) > p["theta"] * sigma
+    when = (sigma > 0) & far(col("close")) & ~(finite(col("p_close")) & far(col("p_close"))) & (F.try_divide(F.abs(col("close") - med), med) >= p["minDeviationPct"]) & positive(col("n_close")) & ~far(col("n_close"))
+    away = F.try_divide(col("close") - med, med) * 100
+    return [hit("PRICE_SPIKE_INTRADAY", when, col("ts_raw"), F.abs(away), {"close": col("close"), "neighborhood_median": med, "deviation_pct": F.round(away, 2), "reverted_to": col("n_close")}, col("seq"))]
 
 
-def price_nonpositive(t, p):
-    fields = F.array(*(F.struct(lit(f).alias("field"), col(f).alias("v")) for f in ("open", "high", "low", "close")))
-    hit = t.bars.select("dataset_id", "seq", "ts_raw", F.posexplode(fields).alias("i", "x")).filter(~positive(col("x.v")))
-    return occurrences(hit, "PRICE_NONPOSITIVE", col("ts_raw"), col("x.v"), {"field": col("x.field"), "value": col("x.v").cast("string")}, col("seq"), col("i"))
+price_spike_intraday = RowRule("enriched", _price_spike, _near)
 
 
-def insufficient_data(t, p):
-    counts = t.bars.groupBy("dataset_id").agg(F.count("*").alias("n"))
-    hit = t.datasets.select("dataset_id").join(counts, "dataset_id", "left").withColumn("n", F.coalesce("n", lit(0))).filter(col("n") < p["minBars"])
+def _price_nonpositive(p) -> list[Column]:
+    return [hit("PRICE_NONPOSITIVE", ~positive(col(f)), col("ts_raw"), col(f), {"field": lit(f), "value": col(f).cast("string")}, col("seq"), lit(i)) for i, f in enumerate(("open", "high", "low", "close"))]
+
+
+price_nonpositive = RowRule("bars", _price_nonpositive)
+
+
+def _insufficient_data(p) -> list[Column]:
     level = F.when(col("n") == 0, "critical").otherwise(CHECK_RULES["INSUFFICIENT_DATA"].severity)
-    return occurrences(hit, "INSUFFICIENT_DATA", None, col("n"), {"bars": col("n"), "min_bars": lit(p["minBars"])}, severity=level)
+    return [hit("INSUFFICIENT_DATA", col("n") < p["minBars"], None, col("n"), {"bars": col("n"), "min_bars": lit(p["minBars"])}, severity=level)]
 
 
-def ohlc_inconsistent(t, p):
-    b = t.bars.filter(finite(col("open")) & finite(col("high")) & finite(col("low")) & finite(col("close")))
+insufficient_data = RowRule("facts", _insufficient_data)
+
+
+def _ohlc_inconsistent(p) -> list[Column]:
+    known = finite(col("open")) & finite(col("high")) & finite(col("low")) & finite(col("close"))
     outside = lambda c: (col(c) < col("low")) | (col(c) > col("high"))
-    checks = F.filter(F.array(F.when(col("high") < col("low"), 0), F.when(outside("open"), 1), F.when(outside("close"), 2)), lambda x: x.isNotNull())
-    hit = b.withColumn("kind", F.explode(checks))
-    names = F.element_at(F.array(lit("high_below_low"), lit("open_outside"), lit("close_outside")), col("kind") + 1)
-    return occurrences(hit, "OHLC_INCONSISTENT", col("ts_raw"), col("kind"), {"check": names, "open": col("open"), "high": col("high"), "low": col("low"), "close": col("close")}, col("seq"), col("kind"))
+    checks = (("high_below_low", col("high") < col("low")), ("open_outside", outside("open")), ("close_outside", outside("close")))
+    prices = {c: col(c) for c in ("open", "high", "low", "close")}
+    return [hit("OHLC_INCONSISTENT", known & when, col("ts_raw"), lit(i), {"check": lit(name), **prices}, col("seq"), lit(i)) for i, (name, when) in enumerate(checks)]
+
+
+ohlc_inconsistent = RowRule("bars", _ohlc_inconsistent)
+
+
+def _volume_negative(p) -> list[Column]:
+    when = col("volume").isNotNull() & ~(finite(col("volume")) & (col("volume") >= 0))
+    return [hit("VOLUME_NEGATIVE", when, col("ts_raw"), col("volume"), {"volume": col("volume").cast("string")}, col("seq"))]
+
+
+volume_negative = RowRule("bars", _volume_negative)
+
+
+def _zero_volume_moved(p) -> list[Column]:
+    when = (col("volume") == 0) & finite(col("high")) & finite(col("low")) & (col("high") != col("low"))
+    return [hit("ZERO_VOLUME_MOVED", when, col("ts_raw"), col("high") - col("low"), {"high": col("high"), "low": col("low")}, col("seq"))]
+
+
+zero_volume_moved = RowRule("bars", _zero_volume_moved)
 
 
-def volume_negative(t, p):
-    hit = t.bars.filter(col("volume").isNotNull() & ~(finite(col("volume")) & (col("volume") >= 0)))
-    return occurrences(hit, "VOLUME_NEGATIVE", col("ts_raw"), col("volume"), {"volume": col("volume").cast("string")}, col("seq"))
+def _same_time(p) -> list[dict[str, Column]]:
+    # By dataset and time: rows dealt by dataset need no other shuffle.
+    same = Window.partitionBy("dataset_id", F.coalesce(col("t").cast("string"), F.concat(lit("raw:"), "ts_raw")))
+    return [{"same_n": F.count("*").over(same), "same_first": F.min("seq").over(same)}]
 
 
-def zero_volume_moved(t, p):
-    hit = t.bars.filter((col("volume") == 0) & finite(col("high")) & finite(col("low")) & (col("high") != col("low")))
-    return occurrences(hit, "ZERO_VOLUME_MOVED", col("ts_raw"), col("high") - col("low"), {"high": col("high"), "low": col("low")}, col("seq"))
+def _ts_duplicated(p) -> list[Column]:
+    when = (col("same_n") > 1) & (col("seq") == col("same_first"))
+    return [hit("TS_DUPLICATED", when, col("ts_raw"), col("same_n"), {"count": col("same_n")}, col("seq"))]
 
 
-def ts_duplicated(t, p):
-    key = F.coalesce(col("t").cast("string"), F.concat(lit("raw:"), "ts_raw"))
-    hit = t.bars.groupBy("dataset_id", key.alias("key")).agg(F.count("*").alias("n"), F.min(F.struct("seq", "ts_raw")).alias("f")).filter("n > 1")
-    return occurrences(hit, "TS_DUPLICATED", col("f.ts_raw"), col("n"), {"count": col("n")}, col("f.seq"))
+ts_duplicated = RowRule("enriched", _ts_duplicated, _same_time)
 
 
-def ts_unordered(t, p):
-    return occurrences(t.enriched.filter("t < p_t"), "TS_UNORDERED", col("ts_raw"), (col("p_t") - col("t")) / DAY_MS, {"previous": col("p_raw"), "current": col("ts_raw")}, col("seq"))
+def _ts_unordered(p) -> list[Column]:
+    return [hit("TS_UNORDERED", col("t") < col("p_t"), col("ts_raw"), (col("p_t") - col("t")) / DAY_MS, {"previous": col("p_raw"), "current": col("ts_raw")}, col("seq"))]
 
 
-def bar_missing(t, p):
-    hit = t.enriched.filter("t > p_t").withColumn("gap", weekdays_between(col("p_t"), col("t"))).filter(col("gap") >= p["minMissingWeekdays"])
-    return occurrences(hit, "BAR_MISSING", col("ts_raw"), col("gap"), {"gap_weekdays": col("gap"), "from": col("p_raw"), "to": col("ts_raw")}, col("seq"))
+ts_unordered = RowRule("enriched", _ts_unordered)
 
 
-def stale_price(t, p):
+def _bar_missing(p) -> list[Column]:
+    gap = col("gap_weekdays")
+    return [hit("BAR_MISSING", gap >= p["minMissingWeekdays"], col("ts_raw"), gap, {"gap_weekdays": gap, "from": col("p_raw"), "to": col("ts_raw")}, col("seq"))]
+
+
+bar_missing = RowRule("enriched", _bar_missing, lambda p: [{"gap_weekdays": F.when(col("t") > col("p_t"), weekdays_between(col("p_t"), col("t")))}])
+
+
+def _runs(p) -> list[dict[str, Column]]:
     breaks = F.when(col("p_seq").isNull() | col("close").isNull() | col("p_close").isNull() | F.isnan("close") | F.isnan("p_close") | (col("close") != col("p_close")), 1).otherwise(0)
-    runs = t.enriched.withColumn("run", F.sum(breaks).over(by_seq())).filter(~F.isnan("close"))
-    traded = F.max(F.when(col("volume").isNull() | (col("volume") > 0), 1).otherwise(0))
-    hit = runs.groupBy("dataset_id", "run").agg(F.count("*").alias("n"), F.min(F.struct("seq", "ts_raw")).alias("a"), F.max(F.struct("seq", "ts_raw", "close")).alias("z"), traded.alias("traded"))
-    hit = hit.filter((col("n") >= p["consecutiveSessions"]) & (col("traded") == 1))
-    return occurrences(hit, "STALE_PRICE", col("z.ts_raw"), col("n"), {"sessions": col("n"), "close": col("z.close"), "from": col("a.ts_raw"), "to": col("z.ts_raw")}, col("z.seq"))
+    run = Window.partitionBy("dataset_id", "run")  # a bar without a number is a run by itself
+    traded = F.max(F.when(col("volume").isNull() | (col("volume") > 0), 1).otherwise(0)).over(run)
+    return [{"run": F.sum(breaks).over(by_seq())}, {"run_n": F.count("*").over(run), "run_from": F.min(F.struct("seq", "ts_raw")).over(run), "run_last": F.max("seq").over(run), "run_traded": traded}]
+
+
+def _stale_price(p) -> list[Column]:
+    when = ~F.isnan("close") & (col("seq") == col("run_last")) & (col("run_n") >= p["consecutiveSessions"]) & (col("run_traded") == 1)
+    return [hit("STALE_PRICE", when, col("ts_raw"), col("run_n"), {"sessions": col("run_n"), "close": col("close"), "from": col("run_from.ts_raw"), "to": col("ts_raw")}, col("seq"))]
+
+
+stale_price = RowRule("enriched", _stale_price, _runs)
 
 
-def currency_scale_suspect(t, p):
-    k, tol = int(p["minRunSessions"]), p["scaleTolerance"]
+def _around(p) -> list[dict[str, Column]]:
+    k = int(p["minRunSessions"])
     good = F.when(positive(col("close")), col("close"))
-    b = t.enriched.withColumns({"before": middle(F.collect_list(good).over(by_seq().rowsBetween(-k, -1))), "after": middle(F.collect_list(good).over(by_seq().rowsBetween(0, k - 1)))})
-    low, high = 100 * (1 - tol), 100 * (1 + tol)
+    low, high = 100 * (1 - p["scaleTolerance"]), 100 * (1 + p["scaleTolerance"])
     band = lambda r: F.when((r >= low) & (r <= high), "up").when((r >= 1 / high) & (r <= 1 / low), "down")
-    hit = b.filter(positive(col("close")) & positive(col("p_close"))).withColumn("way", band(F.try_divide(col("close"), col("p_close")))).filter("way IS NOT NULL")
-    hit = hit.filter(band(F.try_divide("after", "before")) == col("way"))
-    factor = F.when(col("way") == "up", F.try_divide(col("after"), col("before"))).otherwise(F.try_divide(col("before"), col("after")))
-    return occurrences(hit, "CURRENCY_SCALE_SUSPECT", col("ts_raw"), factor, {"scale_factor": F.round(factor, 1), "direction": col("way"), "median_before": F.round("before", 4), "median_after": F.round("after", 4)}, col("seq"))
+    way = F.when(positive(col("close")) & positive(col("p_close")), band(F.try_divide(col("close"), col("p_close"))))
+    sides = {"scale_before": F.collect_list(good).over(by_seq().rowsBetween(-k, -1)), "scale_after": F.collect_list(good).over(by_seq().rowsBetween(0, k - 1)), "scale_way": way}
+    medians = {f"med_{x}": F.when(col("scale_way").isNotNull(), middle(col(f"scale_{x}"))) for x in ("before", "after")}
+    return [sides, medians, {"scale_same": band(F.try_divide("med_after", "med_before")) == col("scale_way")}]
+
+
+def _currency_scale(p) -> list[Column]:
+    before, after = col("med_before"), col("med_after")
+    factor = F.when(col("scale_way") == "up", F.try_divide(after, before)).otherwise(F.try_divide(before, after))
+    return [hit("CURRENCY_SCALE_SUSPECT", col("scale_same"), col("ts_raw"), factor, {"scale_factor": F.round(factor, 1), "direction": col("scale_way"), "median_before": F.round(before, 4), "median_after": F.round(after, 4)}, col("seq"))]
+
+
+currency_scale_suspect = RowRule("enriched", _currency_scale, _around)
 
 
 def div_duplicated(t, p):
@@ -131,11 +229,16 @@ def div_duplicated(t, p):
     return occurrences(hit, "DIV_DUPLICATED", col("second"), col("amount"), {"amount": col("amount"), "first_exDate": col("first"), "duplicate_exDate": col("second"), "days_apart": F.floor(col("days") + 0.5)}, col("i"), col("j"))
 
 
-def exdate_after_paydate(t, p):
-    late = t.dividends.filter("pay_t < ex_t")
-    large = t.paid.filter((col("idx") >= 1) & positive(col("amount")) & positive(col("prev_close")) & (col("amount") >= p["largeDividendPct"] * col("prev_close")))
-    hit = late.join(large.select("dataset_id", "seq"), ["dataset_id", "seq"], "left_anti")
-    return occurrences(hit, "EXDATE_AFTER_PAYDATE", col("ex_raw"), (col("ex_t") - col("pay_t")) / DAY_MS, {"exDate": col("ex_raw"), "payDate": col("pay_raw"), "amount": col("amount")}, col("seq"))
+def _yielded() -> Column:
+    return (col("idx") >= 1) & positive(col("amount")) & positive(col("prev_close"))
+
+
+def _exdate_after_paydate(p) -> list[Column]:
+    large = F.coalesce(_yielded() & (col("amount") >= p["largeDividendPct"] * col("prev_close")), lit(False))
+    return [hit("EXDATE_AFTER_PAYDATE", (col("pay_t") < col("ex_t")) & ~large, col("ex_raw"), (col("ex_t") - col("pay_t")) / DAY_MS, {"exDate": col("ex_raw"), "payDate": col("pay_raw"), "amount": col("amount")}, col("seq"))]
+
+
+exdate_after_paydate = RowRule("paid", _exdate_after_paydate)
 
 
 def exdate_misplaced(t, p):
@@ -162,11 +265,14 @@ def div_not_adjusted(t, p):
     return occurrences(hit, "DIV_NOT_ADJUSTED", col("ex_raw"), col("med"), {"median_factor_before": F.round("med", 6), "dividend_amount": col("amount"), "expected_adjustment_pct": F.round(col("expected") * 100, 3), "observed_adjustment_pct": F.round((1 - col("med")) * 100, 3)}, col("seq"))
 
 
-def div_scale_100x(t, p):
-    hit = t.paid.filter((col("idx") >= 1) & positive(col("amount")) & positive(col("prev_close"))).withColumn("y", F.try_divide(col("amount"), col("prev_close"))).filter(col("y") > p["maxSingleYieldPct"])
+def _div_scale_100x(p) -> list[Column]:
+    y = F.try_divide(col("amount"), col("prev_close"))
     special = F.coalesce(col("div_type") == "special", lit(False))
     level = F.when(special, "info").otherwise(CHECK_RULES["DIV_SCALE_100X"].severity)
-    return occurrences(hit, "DIV_SCALE_100X", col("ex_raw"), col("y"), {"amount": col("amount"), "prev_close": col("prev_close"), "single_yield_pct": col("y"), "hypothesized_amount": F.when(~special, col("amount") / 100)}, col("seq"), severity=level)
+    return [hit("DIV_SCALE_100X", _yielded() & (y > p["maxSingleYieldPct"]), col("ex_raw"), y, {"amount": col("amount"), "prev_close": col("prev_close"), "single_yield_pct": y, "hypothesized_amount": F.when(~special, col("amount") / 100)}, col("seq"), severity=level)]
+
+
+div_scale_100x = RowRule("paid", _div_scale_100x)
 
 
 def div_yield_impossible(t, p):
@@ -190,12 +296,15 @@ def div_special_misclassified(t, p):
     return occurrences(hit, "DIV_SPECIAL_MISCLASSIFIED", col("ex_raw"), ratio, {"amount": col("amount"), "peer_median": col("peer"), "ratio": F.round(ratio, 2)}, col("seq"))
 
 
-def split_ratio_improbable(t, p):
-    s = t.splits.filter(positive(col("numerator")) & positive(col("denominator"))).withColumn("ratio", F.try_divide(col("numerator"), col("denominator")))
-    reason = F.when(col("ratio") == 1, "identity").when(F.abs(col("numerator") - col("denominator")) <= p["nearOneTolerance"] * col("denominator"), "near_one").when((col("ratio") >= p["extremeRatio"]) | (col("ratio") <= 1 / p["extremeRatio"]), "extreme")
-    hit = s.withColumn("reason", reason).filter("reason IS NOT NULL")
-    level = F.when(col("reason") == "near_one", "info").otherwise(CHECK_RULES["SPLIT_RATIO_IMPROBABLE"].severity)
-    return occurrences(hit, "SPLIT_RATIO_IMPROBABLE", col("ex_raw"), col("ratio"), {"numerator": col("numerator"), "denominator": col("denominator"), "ratio": col("ratio"), "reason": col("reason")}, col("seq"), severity=level)
+def _split_ratio(p) -> list[Column]:
+    ratio = F.when(positive(col("numerator")) & positive(col("denominator")), F.try_divide(col("numerator"), col("denominator")))
+    near = F.abs(col("numerator") - col("denominator")) <= p["nearOneTolerance"] * col("denominator")
+    reason = F.when(ratio == 1, "identity").when(ratio.isNotNull() & near, "near_one").when((ratio >= p["extremeRatio"]) | (ratio <= 1 / p["extremeRatio"]), "extreme")
+    level = F.when(reason == "near_one", "info").otherwise(CHECK_RULES["SPLIT_RATIO_IMPROBABLE"].severity)
+    return [hit("SPLIT_RATIO_IMPROBABLE", reason.isNotNull(), col("ex_raw"), ratio, {"numerator": col("numerator"), "denominator": col("denominator"), "ratio": ratio, "reason": reason}, col("seq"), severity=level)]
+
+
+split_ratio_improbable = RowRule("splits", _split_ratio)
 
 
 def action_missing_from_factor(t, p):
@@ -207,47 +316,61 @@ def action_missing_from_factor(t, p):
     return occurrences(hit, "CORPORATE_ACTION_MISSING_FROM_FACTOR", col("f.ts_raw"), col("med"), {"median_factor": F.round("med", 6), "bars_examined": col("n"), "registered_dividends": col("dividends"), "registered_splits": col("splits")})
 
 
-def marketcap_mismatch(t, p):
-    d = t.datasets.join(t.last, "dataset_id").filter(positive(col("market_cap")) & positive(col("shares_outstanding")) & col("close").isNotNull())
-    d = d.withColumn("implied", col("shares_outstanding") * col("close")).withColumn("off", F.try_divide(F.abs(col("market_cap") - col("implied")), col("market_cap")))
-    return occurrences(d.filter(col("off") > p["tolerancePct"]), "MARKETCAP_MISMATCH", col("last_raw"), col("off"), {"marketCap": col("market_cap"), "implied_market_cap": col("implied"), "deviation_pct": F.round(col("off") * 100, 2)})
+def _marketcap_mismatch(p) -> list[Column]:
+    implied = col("shares_outstanding") * col("close")
+    off = F.try_divide(F.abs(col("market_cap") - implied), col("market_cap"))
+    when = positive(col("market_cap")) & positive(col("shares_outstanding")) & col("close").isNotNull() & (off > p["tolerancePct"])
+    return [hit("MARKETCAP_MISMATCH", when, col("last_raw"), off, {"marketCap": col("market_cap"), "implied_market_cap": implied, "deviation_pct": F.round(off * 100, 2)})]
 
 
-def pe_eps_incompatible(t, p):
-    d = t.datasets.join(t.last, "dataset_id").filter(finite(col("pe")) & finite(col("eps")) & col("close").isNotNull())
+marketcap_mismatch = RowRule("facts", _marketcap_mismatch)
+
+
+def _pe_eps(p) -> list[Column]:
     implied = F.when(col("eps") == 0, lit(float("inf"))).otherwise(F.try_divide("close", "eps"))
     clash = ((col("eps") <= 0) & (col("pe") > 0)) | ((col("eps") > 0) & (col("pe") < 0))
     off = (col("eps") > 0) & (col("pe") > 0) & (F.abs(col("pe") - implied) / F.when(col("pe") == 0, None).otherwise(col("pe")) > p["tolerancePct"])
-    return occurrences(d.filter(clash | F.coalesce(off, lit(False))), "PE_EPS_INCOMPATIBLE", col("last_raw"), col("pe"), {"pe": col("pe"), "eps": col("eps"), "close": col("close"), "implied_pe": implied.cast("string")})
+    when = finite(col("pe")) & finite(col("eps")) & col("close").isNotNull() & (clash | F.coalesce(off, lit(False)))
+    return [hit("PE_EPS_INCOMPATIBLE", when, col("last_raw"), col("pe"), {"pe": col("pe"), "eps": col("eps"), "close": col("close"), "implied_pe": implied.cast("string")})]
+
+
+pe_eps_incompatible = RowRule("facts", _pe_eps)
 
 
-def payout_impossible(t, p):
-    d = t.datasets.join(t.last, "dataset_id").filter(finite(col("payout_ratio")) & ((col("payout_ratio") < 0) | (col("payout_ratio") > p["maxPayout"])))
-    return occurrences(d, "PAYOUT_IMPOSSIBLE", col("last_raw"), col("payout_ratio"), {"payout_ratio": col("payout_ratio")})
+def _payout(p) -> list[Column]:
+    ratio = col("payout_ratio")
+    return [hit("PAYOUT_IMPOSSIBLE", (col("n") > 0) & finite(ratio) & ((ratio < 0) | (ratio > p["maxPayout"])), col("last_raw"), ratio, {"payout_ratio": ratio})]
 
 
-def sign_validity(t, p):
-    fields = F.array(F.struct(lit("marketCap").alias("field"), col("market_cap").alias("v")), F.struct(lit("sharesOutstanding").alias("field"), col("shares_outstanding").alias("v")))
-    d = t.datasets.select("dataset_id", F.posexplode(fields).alias("i", "x")).filter(col("x.v").isNotNull() & ~positive(col("x.v"))).join(t.last, "dataset_id", "left")
-    return occurrences(d, "FUNDAMENTALS_SIGN_VALIDITY", col("last_raw"), col("x.v"), {"field": col("x.field"), "value": col("x.v").cast("string")}, col("i"))
+payout_impossible = RowRule("facts", _payout)
 
 
-def currency_suspect(t, p):
-    med = t.enriched.filter(finite(col("close"))).groupBy("dataset_id").agg(F.median("close").alias("med"))
-    d = t.datasets.select("dataset_id", "symbol", "currency").join(t.last.select("dataset_id", "last_raw"), "dataset_id", "left").join(med, "dataset_id", "left")
-    pence = (col("currency") == "GBP") & F.endswith(col("symbol"), lit(".L")) & (col("med") > p["penceMagnitudeThreshold"])
-    d = d.filter(col("currency").isNull() | F.coalesce(pence, lit(False)))
-    level = F.when(col("currency").isNull(), "info").otherwise(CHECK_RULES["CURRENCY_SUSPECT"].severity)
-    known = col("currency").isNotNull()
-    return occurrences(d, "CURRENCY_SUSPECT", F.when(known, col("last_raw")), F.when(known, col("med")), {"currency": col("currency"), "median_close": F.when(known, col("med"))}, severity=level)
+def _sign_validity(p) -> list[Column]:
+    fields = (("marketCap", col("market_cap")), ("sharesOutstanding", col("shares_outstanding")))
+    return [hit("FUNDAMENTALS_SIGN_VALIDITY", v.isNotNull() & ~positive(v), col("last_raw"), v, {"field": lit(name), "value": v.cast("string")}, lit(i)) for i, (name, v) in enumerate(fields)]
 
 
-def symbol_mapping_suspect(t, p):
+sign_validity = RowRule("facts", _sign_validity)
+
+
+def _currency_suspect(p) -> list[Column]:
+    med, known = col("median_close"), col("currency").isNotNull()
+    pence = (col("currency") == "GBP") & F.endswith(col("symbol"), lit(".L")) & (med > p["penceMagnitudeThreshold"])
+    level = F.when(known, CHECK_RULES["CURRENCY_SUSPECT"].severity).otherwise("info")
+    return [hit("CURRENCY_SUSPECT", ~known | F.coalesce(pence, lit(False)), F.when(known, col("last_raw")), F.when(known, med), {"currency": col("currency"), "median_close": F.when(known, med)}, severity=level)]
+
+
+currency_suspect = RowRule("facts", _currency_suspect)
+
+
+def _symbol_mapping(p) -> list[Column]:
     country = F.create_map(*(x for c, names in COUNTRY_EXCHANGES.items() for e in names for x in (lit(e), lit(c))))
-    d = t.datasets.filter("isin IS NOT NULL").withColumn("at", F.try_element_at(country, F.upper("exchange")))
-    kinds = F.filter(F.array(F.when(~isin_valid(col("isin")), 0), F.when(col("at") != F.substring("isin", 1, 2), 1)), lambda x: x.isNotNull())
-    d = d.withColumn("kind", F.explode(kinds))
-    return occurrences(d, "SYMBOL_MAPPING_SUSPECT", None, col("kind"), {"isin": col("isin"), "exchange": col("exchange"), "exchange_country": col("at")}, col("kind"))
+    at, isin = F.try_element_at(country, F.upper("exchange")), col("isin")
+    kinds = (isin.isNotNull() & ~isin_valid(isin), isin.isNotNull() & (at != F.substring(isin, 1, 2)))
+    return [hit("SYMBOL_MAPPING_SUSPECT", when, None, lit(i), {"isin": isin, "exchange": col("exchange"), "exchange_country": at}, lit(i)) for i, when in enumerate(kinds)]
+
+
+symbol_mapping_suspect = RowRule("facts", _symbol_mapping)
 
 
 def dividend_fx_mismatch(t, p):

@@ -61,16 +61,16 @@ class MarketTables:
             self._shared[name] = written(make()) if self.cache else make()
         return self._shared[name]
 
-    def written(self) -> MarketTables:
-        """These tables, computed once; so will be those that the rules share."""
+    def written(self, bars: bool = True) -> MarketTables:
+        """These tables, computed once; so will be those that the rules share. bars: whether the bars are read as such, not only through enriched."""
         if self.cache:
             return self
-        return MarketTables(*(written(x) for x in (self.datasets, self.bars, self.dividends, self.splits)), cache=True)
+        return MarketTables(written(self.datasets), written(self.bars) if bars else self.bars, written(self.dividends), written(self.splits), cache=True)
 
     def release(self) -> None:
         """Delete what was written of these tables, once nothing reads it."""
         if self.cache:
-            discard(self.datasets, self.bars, self.dividends, self.splits, *self._shared.values())
+            discard(*(x for x in (self.datasets, self.bars, self.dividends, self.splits, *self._shared.values()) if hasattr(x, "_written_at")))
             self._shared.clear()
 
     @property
@@ -91,14 +91,25 @@ class MarketTables:
         return self._once("enriched", make)
 
     @property
-    def last(self) -> DataFrame:
-        """Of each dataset with bars: the last bar's raw time and time, and the latest finite positive close."""
+    def stats(self) -> DataFrame:
+        """Of each dataset with bars: their number, median finite close, the last bar's raw time and time, and the latest finite positive close."""
 
         def make():
             good = F.when(positive(F.col("close")), F.struct("rn", "close"))
-            return self.enriched.groupBy("dataset_id").agg(F.max(F.struct("rn", "ts_raw", "t")).alias("l"), F.max(good).alias("c")).select("dataset_id", F.col("l.ts_raw").alias("last_raw"), F.col("l.t").alias("last_t"), F.col("c.close").alias("close"))
+            known = F.when(finite(F.col("close")), F.col("close"))
+            found = self.enriched.groupBy("dataset_id").agg(F.count("*").alias("n"), F.median(known).alias("median_close"), F.max(F.struct("rn", "ts_raw", "t")).alias("l"), F.max(good).alias("c"))
+            return found.select("dataset_id", "n", "median_close", F.col("l.ts_raw").alias("last_raw"), F.col("l.t").alias("last_t"), F.col("c.close").alias("close"))
+
+        return self._once("stats", make)
+
+    @property
+    def last(self) -> DataFrame:
+        return self.stats.select("dataset_id", "last_raw", "last_t", "close")
 
-        return self._once("last", make)
+    @property
+    def facts(self) -> DataFrame:
+        """All datasets with their stats; n is 0 where there are no bars."""
+        return self.datasets.join(self.stats, "dataset_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
     @property
     def paid(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickvet.operators.catalog import CHECK_RULES
-from tickvet.operators.rules import ohlc_inconsistent, price_nonpositive, volume_negative, zero_volume_moved
+from tickvet.operators.rules import ohlc_inconsistent, price_nonpositive, row_occurrences, volume_negative, zero_volume_moved
 from tickvet.operators.tables import MarketTables
 
 ROW_LOCAL = {"PRICE_NONPOSITIVE": price_nonpositive, "OHLC_INCONSISTENT": ohlc_inconsistent, "VOLUME_NEGATIVE": volume_negative, "ZERO_VOLUME_MOVED": zero_volume_moved}
@@ -21,9 +21,4 @@ def daily_bars(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
 
 def row_local_occurrences(bars: DataFrame) -> DataFrame:
     """Occurrences of the rules that look at one bar only; bars may be a stream."""
-    t = MarketTables(None, bars, None, None)
-    parts = [check(t, CHECK_RULES[r].params) for r, check in ROW_LOCAL.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return row_occurrences(MarketTables(None, bars, None, None), "bars", [(check, CHECK_RULES[r].params) for r, check in ROW_LOCAL.items()])
