@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickvet.functions import DAY_MS, finite, utc_day
+from tickvet.operators.bands import band_join
 from tickvet.operators.catalog import COMPARE_RULES
 from tickvet.operators.engine import OCCURRENCES, Config, collapse, computed, scores
 from tickvet.operators.tables import MarketTables
@@ -115,12 +116,12 @@ def _actions(t: PairTables, table: str, measure: Column, window, tolerance, rule
     b = t.side(table, "b").withColumn("m", measure)
     x = a.select("dataset_id", col("seq").alias("sa"), col("ex_raw").alias("raw"), col("ex_t").alias("ta"), col("m").alias("ma"))
     y = b.select(col("dataset_id").alias("ds"), col("seq").alias("sb"), col("ex_raw").alias("raw_b"), col("ex_t").alias("tb"), col("m").alias("mb"))
-    near = (col("dataset_id") == col("ds")) & (F.abs(col("ta") - col("tb")) <= window * DAY_MS)
-    met = x.join(y, near, "left").groupBy("dataset_id", "sa", "raw", "ma").agg(F.min(F.when(col("sb").isNotNull(), F.struct("sb", "mb"))).alias("b"))
+    days, near = window * DAY_MS, F.abs(col("ta") - col("tb")) <= window * DAY_MS
+    met = band_join(x, y, {"dataset_id": "ds"}, "ta", "tb", -days, days, near, "left").groupBy("dataset_id", "sa", "raw", "ma").agg(F.min(F.when(col("sb").isNotNull(), F.struct("sb", "mb"))).alias("b"))
     off = F.abs(col("ma") - col("b.mb")) / F.when(F.greatest(F.abs("ma"), F.abs("b.mb")) == 0, None).otherwise(F.greatest(F.abs("ma"), F.abs("b.mb")))
     kind = F.when(col("b").isNull(), "missing_in_b").when(finite(off) & (off > tolerance), "differs")
     from_a = met.withColumn("kind", kind).filter("kind IS NOT NULL").select("dataset_id", "raw", col("ma").alias("m"), col("b.mb").alias("other"), "kind", lit(0).alias("k1"), col("sa").alias("k2"))
-    alone = y.join(x.select(col("dataset_id"), "ta"), near, "left_anti")
+    alone = band_join(y, x.select("dataset_id", "ta"), {"ds": "dataset_id"}, "tb", "ta", -days, days, near, "left_anti")
     from_b = alone.select(col("ds").alias("dataset_id"), col("raw_b").alias("raw"), col("mb").alias("m"), lit(None).cast("double").alias("other"), lit("missing_in_a").alias("kind"), lit(1).alias("k1"), col("sb").alias("k2"))
     return occurrences(from_a.unionByName(from_b), rule, col("raw"), col("m"), {"kind": col("kind"), "value": col("m"), "other": col("other")}, col("k1"), col("k2"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickvet.functions import COUNTRY_EXCHANGES, DAY_MS, finite, isin_valid, middle, positive, split_label, spread, weekdays_between
+from tickvet.operators.bands import band_join
 from tickvet.operators.catalog import CHECK_RULES
 from tickvet.operators.tables import MarketTables, as_of, by_seq, by_time
 
@@ -73,11 +74,12 @@ def row_occurrences(t: MarketTables, source: str, rules: list[tuple[RowRule, Map
 
 
 def split_not_adjusted(t: MarketTables, p) -> DataFrame:
-    hit = t.enriched.withColumn("ratio", split_label(col("ret"), p["tolerance"])).filter("ratio IS NOT NULL")
-    near = F.abs(col("s.ex_t") - col("b.t")) <= p["splitWindowDays"] * DAY_MS
-    hit = hit.alias("b").join(t.splits.alias("s"), (col("b.dataset_id") == col("s.dataset_id")) & near, "left_anti").select("b.*")
+    moved = t.enriched.withColumn("ratio", split_label(col("ret"), p["tolerance"])).filter("ratio IS NOT NULL")
+    splits, days = t.splits.select(col("dataset_id").alias("ds"), col("ex_t").alias("split_t")), p["splitWindowDays"] * DAY_MS
+    found = band_join(moved, splits, {"dataset_id": "ds"}, "t", "split_t", -days, days, F.abs(col("split_t") - col("t")) <= days, "left_anti")
     volumes = F.when((col("volume") != 0) & (col("p_volume") > 0), F.round(F.try_divide(col("volume"), col("p_volume")), 2))
-    return occurrences(hit, "SPLIT_NOT_ADJUSTED", col("ts_raw"), col("ret"), {"return": F.round("ret", 4), "hypothesized_ratio": col("ratio"), "previous_close": col("p_close"), "close": col("close"), "volume_ratio": volumes}, col("seq"))
+    evidence = {"return": F.round("ret", 4), "hypothesized_ratio": col("ratio"), "previous_close": col("p_close"), "close": col("close"), "volume_ratio": volumes}
+    return occurrences(found, "SPLIT_NOT_ADJUSTED", col("ts_raw"), col("ret"), evidence, col("seq"))
 
 
 def _return_z() -> Column:
@@ -220,13 +222,14 @@ currency_scale_suspect = RowRule("enriched", _currency_scale, _around)
 
 
 def div_duplicated(t, p):
-    a, b = t.dividends.alias("a"), t.dividends.alias("b")
-    scale = F.greatest(F.abs("a.amount"), F.abs("b.amount"))
-    same = F.when(scale == 0, col("a.amount") == col("b.amount")).otherwise(F.try_divide(F.abs(col("a.amount") - col("b.amount")), scale) <= p["amountTolerancePct"])
-    days = F.abs(col("a.ex_t") - col("b.ex_t")) / DAY_MS
-    hit = a.join(b, (col("a.dataset_id") == col("b.dataset_id")) & (col("a.seq") < col("b.seq")) & (days <= p["windowDays"]) & finite(scale) & same)
-    hit = hit.select("a.dataset_id", col("a.seq").alias("i"), col("b.seq").alias("j"), col("a.amount").alias("amount"), col("a.ex_raw").alias("first"), col("b.ex_raw").alias("second"), days.alias("days"))
-    return occurrences(hit, "DIV_DUPLICATED", col("second"), col("amount"), {"amount": col("amount"), "first_exDate": col("first"), "duplicate_exDate": col("second"), "days_apart": F.floor(col("days") + 0.5)}, col("i"), col("j"))
+    a = t.dividends.select("dataset_id", col("seq").alias("i"), "amount", col("ex_t").alias("t_a"), col("ex_raw").alias("first"))
+    b = t.dividends.select(col("dataset_id").alias("ds"), col("seq").alias("j"), col("amount").alias("other"), col("ex_t").alias("t_b"), col("ex_raw").alias("second"))
+    scale = F.greatest(F.abs("amount"), F.abs("other"))
+    same = F.when(scale == 0, col("amount") == col("other")).otherwise(F.try_divide(F.abs(col("amount") - col("other")), scale) <= p["amountTolerancePct"])
+    days, most = F.abs(col("t_a") - col("t_b")) / DAY_MS, p["windowDays"] * DAY_MS
+    found = band_join(a, b, {"dataset_id": "ds"}, "t_a", "t_b", -most, most, (col("i") < col("j")) & (days <= p["windowDays"]) & finite(scale) & same)
+    evidence = {"amount": col("amount"), "first_exDate": col("first"), "duplicate_exDate": col("second"), "days_apart": F.floor(days + 0.5)}
+    return occurrences(found, "DIV_DUPLICATED", col("second"), col("amount"), evidence, col("i"), col("j"))
 
 
 def _yielded() -> Column:
@@ -247,8 +250,9 @@ def exdate_misplaced(t, p):
     d = d.filter((col("expected") >= p["minExpectedDropPct"]) & (col("actual") < p["minMatchRatio"] * col("expected")))
     drops = t.enriched.select("dataset_id", "rn", "ts_raw", "close", F.lag("close").over(by_time()).alias("before")).filter(positive(col("close")) & positive(col("before")))
     drops = drops.select(col("dataset_id").alias("ds"), "rn", col("ts_raw").alias("at"), (F.try_divide(col("before"), col("close")) - 1).alias("drop"))
-    fits = (col("rn") > col("idx")) & (col("rn") <= col("idx") + int(p["searchWindowSessions"])) & (col("drop") >= p["minMatchRatio"] * col("expected")) & (col("drop") <= p["maxMatchRatio"] * col("expected"))
-    hit = d.join(drops, (col("dataset_id") == col("ds")) & fits).groupBy("dataset_id", "seq", "ex_raw", "expected", "actual").agg(F.min(F.struct("rn", "at")).alias("m"))
+    fits = (col("drop") >= p["minMatchRatio"] * col("expected")) & (col("drop") <= p["maxMatchRatio"] * col("expected"))
+    found = band_join(d, drops, {"dataset_id": "ds"}, "idx", "rn", 1, int(p["searchWindowSessions"]), fits)
+    hit = found.groupBy("dataset_id", "seq", "ex_raw", "expected", "actual").agg(F.min(F.struct("rn", "at")).alias("m"))
     return occurrences(hit, "EXDATE_MISPLACED", col("ex_raw"), col("expected") * 100, {"expected_drop_pct": F.round(col("expected") * 100, 2), "actual_drop_pct": F.round(col("actual") * 100, 2), "matched_date": col("m.at")}, col("seq"))
 
 
@@ -287,11 +291,12 @@ def div_special_misclassified(t, p):
     d = t.dividends.filter("ex_t IS NOT NULL")
     mine = d.filter((col("div_type") == "regular") & positive(col("amount")))
     peers = mine.select(col("dataset_id").alias("ds"), col("seq").alias("s"), col("ex_t").alias("x"), col("amount").alias("a"))
-    with_peers = mine.join(peers, (col("dataset_id") == col("ds")) & (col("s") != col("seq")) & (col("x") < col("ex_t")) & (col("x") >= col("ex_t") - 1095 * DAY_MS))
+    with_peers = band_join(mine, peers, {"dataset_id": "ds"}, "ex_t", "x", -1095 * DAY_MS, -1, col("s") != col("seq"))
     hit = with_peers.groupBy("dataset_id", "seq", "ex_raw", "ex_t", "amount").agg(F.count("*").alias("n"), F.median("a").alias("peer"))
     hit = hit.filter((col("n") >= p["minPeers"]) & (col("amount") > p["magnitudeRatio"] * col("peer")))
     others = d.select(col("dataset_id").alias("ds"), col("seq").alias("s"), col("ex_t").alias("x"))
-    hit = hit.join(others, (col("dataset_id") == col("ds")) & (col("s") != col("seq")) & (F.abs(col("x") - col("ex_t")) <= p["isolationDays"] * DAY_MS), "left_anti")
+    alone = p["isolationDays"] * DAY_MS
+    hit = band_join(hit, others, {"dataset_id": "ds"}, "ex_t", "x", -alone, alone, (col("s") != col("seq")) & (F.abs(col("x") - col("ex_t")) <= alone), "left_anti")
     ratio = F.try_divide(col("amount"), col("peer"))
     return occurrences(hit, "DIV_SPECIAL_MISCLASSIFIED", col("ex_raw"), ratio, {"amount": col("amount"), "peer_median": col("peer"), "ratio": F.round(ratio, 2)}, col("seq"))
 
