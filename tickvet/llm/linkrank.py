@@ -7,7 +7,7 @@ its distrust reaches the threshold and exceeds its trust. Links are `href` value
 are counted once per pair of hosts and weighted by count.
 
 Only DataFrame functions; every step aggregates before it shuffles, joins are on host with both sides in tables (so that
-adaptive execution splits a hot host), and ranks are materialised every few rounds.
+adaptive execution splits a hot host), and ranks are materialised every 8 rounds.
 
 Edge cases: a null url or one without `://` has empty host and path, fits no rule and is judged as host ''; null html has
 no links; repeated pages count each; a page table without links needs no rounds; an empty table gives an empty result;
@@ -16,10 +16,10 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickvet.llm.common import discard, materialize
+from tickvet.llm.common import collected, discard, materialize
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -50,24 +50,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.withColumn("dst", ascii_lower(F.col("dst"))).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def converge(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, cut: int = 8) -> DataFrame:
-    """(host, rank): r = seed + damping x W^T r, W being the edges' shares by source; each rank short of it by less than tolerance. seeds: (host, seed).
+def converge(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, cut: int = 8, fan: int = 1000) -> DataFrame:
+    """(kind, host, rank): r = seed + damping x W^T r for each kind, W being the edges' shares by source; each rank short of it by less than tolerance.
 
-    step is what a round adds. Each round adds at most damping times as much as the one before, over all hosts, so that
-    after it at most step x damping / (1 - damping) is to come; this is looked at every `cut` rounds.
+    seeds: (kind, host, seed), edges: (kind, src, dst, n). step is what a round adds. Each round adds at most damping times as much as the one
+    before, over all hosts, so that after it at most step x damping / (1 - damping) is to come; this is looked at every `cut` rounds.
+
+    A round reads the one before once: a host's row, joined with its links in lists of `fan` at most, gives itself and what flows from it. So a plan
+    grows by one join and one aggregate a round, and a host of many links is many rows.
     """
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")))
-    rank = materialize(seeds.select("host", F.col("seed").alias("rank"), F.col("seed").alias("step")))
-    while rank.agg(F.sum("step")).first()[0] * damping / (1 - damping) >= tolerance:
+    own = Window.partitionBy("kind", "src")
+    shares = edges.withColumn("w", F.col("n") / F.sum("n").over(own)).withColumn("part", F.floor((F.row_number().over(own.orderBy("dst")) - 1) / fan))
+    lists = materialize(shares.groupBy("kind", "src", "part").agg(F.collect_list(F.struct("dst", "w")).alias("links")).withColumnRenamed("kind", "of"))
+    rank = materialize(seeds.select("kind", "host", F.col("seed").alias("rank"), F.col("seed").alias("step")))
+    most = F.coalesce(F.max("total"), F.lit(0.0)).alias("most")
+    while collected(rank.groupBy("kind").agg(F.sum("step").alias("total")).agg(most))[0].most * damping / (1 - damping) >= tolerance:
         last = rank
         for _ in range(cut):
-            flow = shares.join(rank.filter("step > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), F.lit(0.0).alias("rank"), (F.col("step") * F.col("w") * damping).alias("step"))
-            both = flow.unionByName(rank.select("host", "rank", F.lit(0.0).alias("step")))
-            rank = both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("step").alias("step")).select("host", (F.col("rank") + F.col("step")).alias("rank"), "step")
+            flows = F.transform("links", lambda x: F.struct(x["dst"].alias("host"), F.lit(0.0).alias("rank"), (F.col("step") * x["w"] * damping).alias("step")))
+            itself = F.array(F.struct("host", "rank", F.lit(0.0).alias("step")))
+            told = F.concat(F.when(F.coalesce("part", F.lit(0)) == 0, itself).otherwise(F.array()), F.when(F.col("links").isNotNull(), flows).otherwise(F.array()))
+            met = rank.join(lists, (F.col("kind") == F.col("of")) & (F.col("host") == F.col("src")) & (F.col("step") > 0), "left")
+            rank = met.select("kind", F.explode(told).alias("y")).groupBy("kind", "y.host").agg(F.sum("y.rank").alias("rank"), F.sum("y.step").alias("step"))
+            rank = rank.select("kind", "host", (F.col("rank") + F.col("step")).alias("rank"), "step")
         rank = materialize(rank)
         discard(last)
-    return rank.select("host", "rank")
+    discard(lists)
+    return rank.select("kind", "host", "rank")
 
 
 def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-8) -> DataFrame:
@@ -77,12 +86,14 @@ def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float
     share = lambda verdict: F.sum((F.coalesce(F.col("r.verdict"), F.lit("")) == verdict).cast("double")) / F.count("*")
     hosts = materialize(judged.groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block")))
     edges = materialize(host_edges(pages))
-    good, bad = hosts.select("host", F.col("allow").alias("seed")), hosts.select("host", F.col("block").alias("seed"))
-    if not edges.isEmpty():
-        good = converge(good, edges, damping, tolerance).withColumnRenamed("rank", "seed")
-        bad = converge(bad, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), damping, tolerance).withColumnRenamed("rank", "seed")
-    ranks = good.withColumnRenamed("seed", "trust").join(bad.withColumnRenamed("seed", "distrust"), "host", "full")
-    ranks = materialize(ranks.select("host", F.round(F.coalesce("trust", F.lit(0.0)), 6).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 6).alias("distrust")))
+    seeds = hosts.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allow").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("block").alias("seed")))).alias("y"), "host").select("y.kind", "host", "y.seed")
+    if edges.isEmpty():
+        ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
+    else:  # trust goes along the links, distrust against them; both in the same rounds
+        ways = (F.struct(F.lit("trust").alias("kind"), "src", "dst", "n"), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+        ranks = converge(seeds, edges.select(F.explode(F.array(*ways)).alias("y")).select("y.*"), damping, tolerance)
+    of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)), 6).alias(kind)
+    ranks = materialize(ranks.groupBy("host").agg(of("trust"), of("distrust")))
     by_host = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return judged.join(ranks, "host", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", by_host).alias("verdict"), "trust", "distrust")
 
