@@ -11,14 +11,14 @@ shingle). The Jaccard distance 1 - both / either is a metric; two documents link
    the one before, so every pair that can link has the same parts somewhere. Empty restrictions are left out where enough others are there. Cells of one class have no pairs.
 3. Star rounds: the members of each cell are compared with one pivot out of it (of the least hash, the same in all cells, so that cells of alike
    documents share pivots). That settles large groups of near copies by about one pair a class; a cell of one component is done.
-4. A cell of more than `leaf` classes is split by document pivots out of it (the least of `pivots` hash buckets). Distances to them are exact, where
+4. Of the others, a cell of more than `leaf` classes is split by document pivots out of it (the least of `pivots` hash buckets). Distances to them are exact, where
    length and bitmap do not show them to be far. With D the distance to the nearest pivot and t = 3r, a class of D <= t has that pivot's Voronoi
    cell as home, others the cell of the rest. By the triangle inequality a partner of a class at home with p is within min(its D + 2r, t + r)
    of p: in all such windows a class is replicated. So each linking pair meets in a cell, which is split again if it is still large.
 5. Cells of `leaf` classes or fewer, and those that a split left nearly whole, are joined: pairs of unlike components that pass the
    length window, the window |d(a, p) - d(b, p)| <= r of their pivot and the parity bitmap (bits that differ are at most
    the shingles of one set only).
-6. Pairs, of stars too, are verified on the whole sets, which are made for the classes of such pairs only.
+6. Pairs, of stars too, are verified on the whole sets, which are made once, for the classes that meet another only.
 
 Regions are keys of shuffles; nothing of a cell is held by one task but the rows of a sorted join, which Spark splits if they are skewed.
 Many documents alike by somewhat less than num/den cost a verification for each pair that passes the filters: no link settles them.
@@ -151,31 +151,27 @@ def overlaps(pairs: DataFrame, sets: DataFrame, at_once: int = 512) -> DataFrame
     return materialize(joined.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("both")))
 
 
-def _named(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs that link."""
+    pairs = materialize(pairs)
+    found = overlaps(pairs, sets)
+    discard(pairs)
+    return found.filter(linked(num, den)).select("a", "b")
 
 
-class Sets:
-    """Whole sets of the classes that are asked for."""
-
-    def __init__(self, docs: DataFrame, of: DataFrame, width: int, num: int, den: int):
-        self.docs, self.of, self.width, self.num, self.den = docs, of, width, num, den
-
-    def distances(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, na, nb, both) of materialised pairs."""
-        wanted = materialize(_named(pairs))
-        sets = sets_of(self.docs, self.of, wanted, self.width)
-        out = overlaps(pairs, sets)
-        discard(wanted, sets)
-        return out
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs that link; materialised."""
-        pairs = materialize(pairs)
-        found = self.distances(pairs)
-        out = materialize(found.filter(linked(self.num, self.den)).select("a", "b"))
-        discard(pairs, found)
-        return out
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """roots (node, root; None: each class is its own) after further links: only components that these bring together are looked at again."""
+    if roots is None:
+        return components(links)
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    apart = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b")
+    apart = materialize(apart.distinct())
+    if apart.isEmpty():
+        return roots
+    more = components(apart)
+    again = roots.join(more.withColumnsRenamed({"node": "old", "root": "new"}), F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    discard(apart)
+    return materialize(again.unionByName(more))
 
 
 def linked(num: int, den: int) -> Column:
@@ -217,8 +213,8 @@ def close(cells: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
 
 
-def split(large: DataFrame, sets: Sets, turn: int, num: int, den: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """The next cells of large cells, and the links found with their pivots; both materialised."""
+def split(large: DataFrame, sets: DataFrame, turn: int, num: int, den: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """The next cells of large cells, materialised, and the links found with their pivots."""
     r = 1 - num / den
     t = min(3 * r, 1 - 2 * r)
     order = F.struct(F.xxhash64("c", F.lit(turn)), *(F.col(k).alias(f"{k}_b") for k in ("c", "n", *SKETCH)))
@@ -228,8 +224,8 @@ def split(large: DataFrame, sets: Sets, turn: int, num: int, den: int, pivots: i
     bound = F.greatest((most - least) / most, 2 * _apart() / (total + _apart()))  # the distance is this at least
     asked = materialize(members.join(chosen, "region").select("region", F.col("c_a").alias("a"), F.col("c_b").alias("b"), (bound > t + r + EPS).alias("far")))
     wanted = materialize(asked.filter("NOT far AND a <> b").select("a", "b").distinct())
-    found = sets.distances(wanted)
-    links = materialize(found.filter(linked(num, den)).select("a", "b"))
+    found = overlaps(wanted, sets)
+    links = found.filter(linked(num, den)).select("a", "b")
     away = found.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("away"))
     d = F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(F.coalesce("away", F.lit(1.0)))
     seen = asked.join(away, ["a", "b"], "left").groupBy("region", "a").agg(F.collect_list(F.struct("b", d.alias("d"))).alias("seen"), F.min(d).alias("nearest"))
@@ -240,7 +236,7 @@ def split(large: DataFrame, sets: Sets, turn: int, num: int, den: int, pivots: i
     carried = large.select(F.col("region").alias("of"), "c", "n", *SKETCH, F.col("size").alias("parent"))
     cell = F.xxhash64("of", F.coalesce("y.b", F.lit(0)), F.col("y.b").isNull(), F.lit(turn))
     cells = materialize(placed.join(carried, ["of", "c"]).select(cell.alias("region"), "c", "n", *SKETCH, "y.d", "parent"))
-    discard(asked, wanted, found)
+    discard(asked, wanted)
     return cells, links
 
 
@@ -250,23 +246,23 @@ def classes_linked(docs: DataFrame, of: DataFrame, width: int, num: int, den: in
     if first.isEmpty():
         return None
     cells = first.withColumn("d", F.lit(None).cast("double")).withColumn("parent", F.lit(None).cast("long"))
-    sets, roots, edges, turn = Sets(docs, of, width, num, den), None, None, 0
+    wanted = first.select("c").distinct()
+    sets, roots, turn = sets_of(docs, of, wanted, width), None, 0
     while True:
         named = cells.withColumn("root", F.col("c")) if roots is None else cells.join(roots, cells.c == roots.node, "left").select(*cells.columns, F.coalesce("root", "c").alias("root"))
         sizes = named.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("region", "size")
         live = materialize(named.join(sizes, "region"))
         last = False
         if turn < stars:
-            links, cells = sets.verified(star(live, turn, num, den)), live.drop("root", "size")
+            links, cells = verified(star(live, turn, num, den), sets, num, den), live.drop("root", "size")
         else:
             whole = (F.col("size") <= leaf) | F.coalesce(F.col("size") * 5 > F.col("parent") * 4, F.lit(False))
-            links, large = sets.verified(close(live.filter(whole), num, den)), live.filter(~whole)
+            links, large = verified(close(live.filter(whole), num, den), sets, num, den), live.filter(~whole)
             last = large.isEmpty()
             if not last:
                 cells, more = split(large, sets, turn, num, den, pivots)
                 links = links.unionByName(more)
-        edges = links if edges is None else edges.unionByName(links)
-        roots = components(edges)
+        roots = joined(roots, links)
         if last:
             return roots
         turn += 1
