@@ -79,7 +79,7 @@ def issues(texts: DataFrame, symbol: str | None = None, source: str | None = Non
     """
     bare = F.ltrim("text").startswith("[")
     named = F.when(bare, F.concat(F.lit('{"bars":'), F.col("text"), F.lit("}"))).otherwise(F.col("text"))
-    parsed = texts.select("dataset_id", bare.alias("bare"), F.try_parse_json(named).alias("v"))
+    parsed = texts.select("dataset_id", F.try_parse_json(named).alias("v"))
     at = lambda path: F.try_variant_get("v", path, "variant")
     row = lambda part, i, v: F.struct(F.lit(PARTS.index(part)).alias("part"), i.alias("i"), v.alias("x"))
     one = F.lit(-1)
@@ -92,7 +92,7 @@ def issues(texts: DataFrame, symbol: str | None = None, source: str | None = Non
     is_object = type_of(F.col("v")) == "object"
     rows = parsed.withColumn("root", F.when(F.col("v").isNull(), "text").when(~is_object, type_of(F.col("v"))))
     listed = F.when(F.col("root").isNotNull(), F.array(row("", F.lit(-3), F.col("v")))).otherwise(F.concat(*sections, F.array_compact(F.array(*wrong))))
-    seen = rows.select("dataset_id", "bare", "root", F.explode(listed).alias("y")).select("dataset_id", "bare", "root", "y.*")
+    seen = rows.select("dataset_id", "root", F.explode(listed).alias("y")).select("dataset_id", "root", "y.*")
     fault = lambda code, expected, received: F.array(F.struct(F.lit(-1).alias("field_at"), F.lit("").alias("field"), F.struct(code.alias("code"), F.lit(expected).alias("expected"), received.alias("received")).alias("fault")))
     got = type_of(F.col("x"))
     found = F.when(F.col("i") == -3, fault(F.when(F.col("root") == "text", "json").otherwise("type"), "object", F.col("root")))
