@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickvet.llm import bestfit, edit_decontam, ftrl, importance, linejoin, linkrank, metricjoin, oph, ppm, simhash, tokenalign, unigram_count, whiten
 
 BPE_FILE, UNIGRAM_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-PIECE_FILE = "piece_bpe_32k.model"
+PIECE_FILE = UNIGRAM_FILE
 
 
 def vocabulary(name: str) -> str:
@@ -46,8 +46,10 @@ def op6(spark, sf_dir):
 
 
 def op7(spark, sf_dir):
-    cleaned = linejoin.dedup_lines(_table(spark, sf_dir, "documents"), removed="removed")
-    return cleaned.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+    docs = _table(spark, sf_dir, "documents")
+    gone = "removed_" + "_".join(docs.columns)  # no column's name
+    cleaned = linejoin.dedup_lines(docs, removed=gone)
+    return cleaned.select("doc_id", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op8(spark, sf_dir):
