@@ -30,6 +30,14 @@ def test_check_and_history(spark, tmp_path, capsys):
     assert cli.main(["history", "x", "--history-dir", kept]) == 0 and "SPLIT_NOT_ADJUSTED" in capsys.readouterr().out
 
 
+def test_faults_of_structure_are_told_by_path(spark, tmp_path, capsys):
+    path = write(tmp_path / "wrong.json", [5.0, 5.1], currency="usd", splits=[{"exDate": "2023-06-02", "numerator": "2", "denominator": 1}])
+    assert cli.main(["check", "--file", path, "--format", "json"]) == 1
+    out = json.loads(capsys.readouterr().out)
+    told = {json.loads(f["evidence"])["path"]: f["explanation"] for f in out["findings"] if f["rule"] == "SCHEMA_INVALID"}
+    assert set(told) == {"currency", "splits.0.numerator"} and "expected number, received string" in told["splits.0.numerator"]
+
+
 def test_compare(spark, tmp_path, capsys):
     a = write(tmp_path / "a.json", [100.0 + i for i in range(12)])
     b = write(tmp_path / "b.json", [102.0 + i for i in range(12)])

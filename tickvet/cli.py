@@ -21,7 +21,7 @@ from tickvet.operators.catalog import CHECK_RULES, COMPARE_RULES, SEVERITIES
 from tickvet.operators.compare import PairTables, compare
 from tickvet.operators.report_html import overlay, page
 from tickvet.operators.tables import MarketTables
-from tickvet.sources import IngestError, chart_errors, daily_series_errors, history, parse_chart, parse_daily_series, read_file, schema_findings
+from tickvet.sources import IngestError, chart_errors, daily_series_errors, history, parse_chart, parse_daily_series, read_file, schema_findings, structure
 from tickvet.sources.connectors import CONNECTORS, ConnectorError, VendorSource, connector_status, get_connector
 
 
@@ -75,6 +75,15 @@ def _file(spark: SparkSession, path: str, symbol: str | None, source: str | None
     return read_file(spark, path if "://" in path else f"file://{os.path.abspath(path)}", symbol, source)
 
 
+def _structure(spark: SparkSession, args, t: MarketTables) -> DataFrame:
+    """Structural findings: of a JSON file by the paths of its text, else of the tables."""
+    if not args.file or not args.file.lower().endswith(".json"):
+        return schema_findings(t)
+    path = args.file if "://" in args.file else f"file://{os.path.abspath(args.file)}"
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("dataset_id"), F.col("value").alias("text"))
+    return structure.findings(structure.issues(texts, args.symbol or "UNKNOWN", "json"))
+
+
 def _fetched(spark: SparkSession, provider: str, symbol: str, span: str) -> MarketTables:
     get_connector(provider)
     spark.dataSource.register(VendorSource)
@@ -129,7 +138,7 @@ def _check(args, cfg) -> int:
     spark = _session()
     t = _file(spark, args.file, args.symbol) if args.file else _fetched(spark, args.provider, args.symbol, args.range)
     t = t.written()
-    reports, findings = engine.check(t, cfg, schema_findings(t))
+    reports, findings = engine.check(t, cfg, _structure(spark, args, t))
     closes = [r.close for r in t.bars.filter("close IS NOT NULL").orderBy("seq").select("close").collect()] if args.html else []
     code = _finish(args, reports, findings, "sanity_score", closes)
     if args.save:
