@@ -14,8 +14,8 @@ class, of which only the first can stay, so the join is over classes:
 3. Among these, each class is verified with the earliest of each of its postings, which settles large groups of near
    copies by a few pairs a class; those still there are then verified with all earlier ones that pass the filters.
 
-Counts and bitmaps of fixed size (2^19 counts, 2^23 bits) are all that tasks are sent. Equal 128-bit hashes of two sets
-of words, each by 58 bits of its hash, are taken for equal sets; all other similarities are verified on the words themselves.
+Counts and bitmaps of fixed size (2^19 counts, 2^23 bits) are all that tasks are sent. Classes are first told apart by
+128-bit hashes of sets of words, each by 58 bits of its hash; from the search for partners on a class goes by 64 of them, so that among some 10^9 classes one pair may be taken for equal; all other similarities are verified on the words themselves.
 
 Edge cases: null text has no lines and stays null; a null id sorts before all others; rows of equal ids are one place, so
 their lines at equal places never remove each other; lines without words stay; empty tables stay empty; further columns are
