@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickvet.functions import finite, normal_timestamp, to_ms
 from tickvet.operators.tables import MarketTables
-
-# Names under which a column may come, by the name it gets.
-ALIASES = {
-    "timestamp": ("date", "timestamp", "time", "datetime"), "open": ("open", "o"), "high": ("high", "h"), "low": ("low", "l"), "close": ("close", "c"), "volume": ("volume", "v", "vol"),
-}
-REQUIRED = ("timestamp", "open", "high", "low", "close")
-MOST_RAGGED = 0.1
+from tickvet.sources.csv_records import ALIASES, REQUIRED, read_csv_files
 
 BAR = "struct<timestamp:string,open:double,high:double,low:double,close:double,volume:double,adjustmentFactor:double>"
 DATASET = f"""struct<symbol:string,exchange:string,currency:string,source:string,identifiers:struct<isin:string,cusip:string,figi:string>,bars:array<{BAR}>,
@@ -66,38 +58,13 @@ def header_map(header: list[str]) -> dict[str, int]:
 
 
 def read_csv(spark: SparkSession, path: str, symbol: str | None = None, source: str | None = None) -> MarketTables:
-    """One CSV file with a header to one dataset (its id is the path). The file is one value, so that seq is its line order.
-
-    Quoted fields may hold commas and doubled quotes, but no line breaks.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.lit(path).alias("dataset_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
-    head = files.select(F.split("text", "\n")[0].alias("h")).first()
-    if head is None or not (head.h or "").strip():
+    """One CSV file with a header to one dataset (its id is the path); csv_records reads many."""
+    tables, errors = read_csv_files(spark, path, F.lit(symbol), source or "csv", F.lit(path))
+    if bad := errors.first():
+        raise IngestError(bad.error)
+    if tables.datasets.isEmpty():
         raise IngestError("the file has no header")
-    header = next(csv.reader([head.h]))
-    places = header_map(header)
-    rows = files.select("dataset_id", F.posexplode(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 2, 2_000_000_000)).alias("seq", "row"))
-    cells = F.split("row", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')  # commas that an even number of quotes follows
-    total, ragged = rows.agg(F.count("*"), F.count_if(F.size(cells) != len(header))).first()
-    if not total:
-        raise IngestError("the file has no rows")
-    if ragged > MOST_RAGGED * total:
-        first = [r[0] + 1 for r in rows.filter(F.size(cells) != len(header)).orderBy("seq").limit(3).select("seq").collect()]
-        raise IngestError(f"{ragged} of {total} rows have a different number of fields, first rows {first}")
-
-    def cell(name: str) -> Column:
-        if name not in places:
-            return F.lit(None).cast("string")
-        plain = F.trim(F.get(cells, places[name]))
-        quoted = F.regexp_extract(plain, '^"(.*)"$', 1)
-        return F.trim(F.when(plain.rlike('^".*"$'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(plain))
-
-    ts = normal_timestamp(cell("timestamp"))
-    bars = rows.select("dataset_id", "seq", ts.alias("ts_raw"), to_ms(ts).alias("t"), *(cell(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")), F.lit(None).cast("double").alias("adj_factor"))
-    from tickvet.operators.tables import DATASETS, DIVIDENDS, SPLITS
-
-    datasets = spark.createDataFrame([(path, symbol or "UNKNOWN", source or "csv", *[None] * 9)], DATASETS)
-    return MarketTables(datasets, bars, spark.createDataFrame([], DIVIDENDS), spark.createDataFrame([], SPLITS))
+    return tables
 
 
 def read_json(spark: SparkSession, path: str, symbol: str | None = None, source: str | None = None) -> MarketTables:
