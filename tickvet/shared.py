@@ -42,18 +42,24 @@ def held(spark: SparkSession, settings: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder for a table or files; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _paths[path] = spark
+    return path
+
+
 def written(df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
     """df, computed once: what is made of it has a short plan and survives lost executors.
 
     The step's shuffle files go when it has ended; the table goes by discard(), or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     with held(spark, CLEAN | (settings or {})):
         df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
-    _paths[path] = spark
     return table
 
 
