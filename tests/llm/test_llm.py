@@ -4,6 +4,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickvet.llm import bestfit, edit_decontam, ftrl, importance, linejoin, linkrank, oph, ppm, simhash, unigram_count
 from tickvet.llm.queries import BPE_FILE, UNIGRAM_FILE, vocabulary
@@ -384,3 +385,39 @@ def test_toxicity_learns_without_a_table(spark, monkeypatch):
     assert not written and len(bucket) and before == {k: spark.conf.get(k, None) for k in before}
     scores = {r.doc_id: r.score for r in ftrl.score(docs.filter("text <> 'a bad day'"), (bucket, weight), 1 << 12).collect()}
     assert all((scores[i] > 0.5) == (i % 2 == 0) for i in range(200))
+
+
+def test_many_languages(spark):
+    """Forty invented languages, one document of each held out; the model grows with the sum of languages."""
+    rng, rows, letters = random.Random(3), [], "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice("etaoinshrdlu" * 3 + letters) for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    sizes = {}
+    for n in (10, 40):
+        samples = {}
+        for i in range(n):
+            new = list(letters)
+            random.Random(i).shuffle(new)
+            if i % 4 == 3:  # another script
+                new = [chr(0x400 + i * 8 + j) for j in range(26)]
+            to = str.maketrans(letters, "".join(new))
+            samples[f"l{i:02d}"] = [" ".join(rng.choices(words, k=60)).translate(to) for _ in range(6)]
+        trees = ppm.ByteTrees({k: [t.encode() for t in v[1:]] for k, v in samples.items()})
+        sizes[n] = sum(x.nbytes for x in trees.tables)
+        rows = [(i, v[0]) for i, v in enumerate(samples.values())]
+    assert sizes[40] < 5 * sizes[10]
+    got = ppm.identify(spark.createDataFrame([*rows, (98, None), (99, "12 .")], "doc_id long, text string"), trees).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: f"l{i:02d}" for i in range(40)} | {98: "und", 99: "und"}
+
+
+def test_language_edges(spark):
+    """Repeated rows, clashing names, a long text, a language of empty texts only, no training rows."""
+    trees = ppm.ByteTrees({"aa": [b"abracadabra " * 9], "ee": [b"eve never severed ever "], "zz": [b""]})
+    docs = spark.createDataFrame([(1, "abra", "x", "d"), (1, "abra", "x", "d"), (2, None, "y", "e"), (3, "", "y", "e"), (4, "ever " * 400_000, "z", "f"), (None, "never", None, None)], "doc_id long, text string, lang_pred string, score string")
+    got = ppm.identify(docs, trees).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in got) == [(0, "ee"), (1, "aa"), (1, "aa"), (2, "und"), (3, "und"), (4, "ee")]
+    assert got[0].score == got[1].score and abs(got[0].score + sum(np.exp2(got[0].bits_per_byte * 4 - trees.bits(np.frombuffer(b"abra", np.uint8), np.array([0, 4]))[0][1:])) * got[0].score - 1) < 1e-6
+    kept = ppm.reject_foreign(docs, trees)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 4]
+    assert ppm.identify(docs.filter("false"), trees).count() == 0
+    none = ppm.train(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in ppm.identify(docs, none).collect()} == {"und"}

@@ -8,7 +8,9 @@ The language with the shortest code wins (ties: first in alphabetical order); th
 priors, 2^-bits normalised over the languages.
 
 Bounds: a language's tree is fitted on at most `per_lang` whole documents (least hash of id), counted a few at a time. Scoring
-reads whole texts. Tables have a row for each context of some language, with a 4-byte code length for each symbol and language.
+reads whole texts. A language's table has a row for each of its own contexts and a column for each of its own bytes; a
+context it does not know leads to the row of its longest known end. So the model is as large as the sum of its languages
+(and 4 bytes for each of at most 257^3 contexts, and for each language and context of any), whatever their number.
 
 Edge cases: a null text or one without letters is `und` with score 0; null lang is not learned from; a null id is folded
 as the empty string; with no training rows everything is `und`; repeated rows have equal results; other columns are
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 
 from tickvet.llm.common import crc_fold, slices, text_bytes
 
-MOST_BYTES = 1 << 29  # of the table that is broadcast
-
 
 class ByteTrees:
     """Code lengths of bytes after up to three bytes, for several languages."""
@@ -51,24 +51,48 @@ class ByteTrees:
                 keys = sum(small[keys // 257**j % 257] * a**j for j in range(k + 1)) if len(keys) else keys
                 order = np.argsort(keys)
                 counts[k].append((keys[order], n[order]))
-        nodes = [np.unique(np.concatenate([keys // a for keys, _ in counts[k]])) for k in range(4)]
+        own = [[np.unique(counts[k][i][0] // a) for k in range(4)] for i in range(len(self.langs))]
+        nodes = [np.unique(np.concatenate([x[k] for x in own])) for k in range(4)]
         base = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
-        if base[4] * a * len(self.langs) * 4 > MOST_BYTES:
-            raise ValueError(f"{base[4]} contexts of {a} symbols in {len(self.langs)} languages make too large a table to broadcast: learn from fewer documents a language")
-        self.cost = np.zeros((base[4], a, len(self.langs)), np.float32)
+        self.tables, self.rows, self.columns = [], [], []
         for i in range(len(self.langs)):
-            dense = [self._dense(nodes[k], *counts[k][i]) for k in range(4)]
-            for k in range(4):
-                if len(nodes[k]):
-                    self.cost[base[k] : base[k + 1], :, i] = self._code_lengths(nodes, dense, k, len(seen))
+            table, columns = self._table(own[i], [counts[k][i] for k in range(4)])
+            self.tables.append(table.ravel())
+            self.columns.append(columns)
+            self.rows.append(self._rows(nodes, own[i], base) * table.shape[1])
         self.index = np.zeros(a**3, np.int32)
         triples = np.arange(a**3)
         for k in range(1, 4):
             if len(nodes[k]):
-                at = np.minimum(np.searchsorted(nodes[k], triples % a**k), len(nodes[k]) - 1)
-                hit = nodes[k][at] == triples % a**k
+                at, hit = self._places(nodes[k], triples % a**k)
                 self.index[hit] = base[k] + at[hit]
 
+    @staticmethod
+    def _places(nodes, keys):
+        """Places of keys among sorted nodes, and which are there."""
+        at = np.minimum(np.searchsorted(nodes, keys), max(len(nodes) - 1, 0))
+        return at, (nodes[at] == keys if len(nodes) else np.zeros(len(keys), bool))
+
+    def _table(self, own, counts):
+        """A language's code lengths, a row for each of its contexts by order; a symbol's column (0: all it never has)."""
+        has = np.unique(counts[0][0] % self.size)
+        columns = np.zeros(self.size, np.int32)
+        columns[has] = np.arange(len(has)) + 1
+        if not len(own[0]):  # empty texts only: all bytes alike
+            return np.full((1, 1), 8.0, np.float32), columns
+        dense = [self._dense(own[k], columns, len(has) + 1, *counts[k]) for k in range(4)]
+        return np.concatenate([self._code_lengths(own, dense, k) for k in range(4)]).astype(np.float32), columns
+
+    def _rows(self, nodes, own, base):
+        """For each context of any language the row of its longest end that this language knows."""
+        out, first = np.zeros(base[4], np.int32), 0
+        for k in range(1, 4):
+            first += len(own[k - 1])
+            at, known = self._places(own[k], nodes[k])
+            shorter, _ = self._places(nodes[k - 1], nodes[k] % self.size ** (k - 1))
+            out[base[k] : base[k + 1]] = np.where(known, first + at, out[base[k - 1] + shorter])
+        return out
+
     @staticmethod
     def _counted(texts: Iterable[bytes], most: int = 1 << 20) -> list[tuple[np.ndarray, np.ndarray]]:
         """For 0 to 3 bytes before: contexts and bytes as numbers to base 257 (the byte lowest; 0 before a text), and their counts."""
@@ -91,15 +115,15 @@ class ByteTrees:
                 put(data[at : at + most + 3])
         return [merged(x) for x in held]
 
-    def _dense(self, nodes, keys, n):
-        out = np.zeros((len(nodes), self.size), np.float32)
+    def _dense(self, nodes, columns, width, keys, n):
+        out = np.zeros((len(nodes), width), np.float32)
         if len(keys):
-            out[np.searchsorted(nodes, keys // self.size), keys % self.size] = n
+            out[np.searchsorted(nodes, keys // self.size), columns[keys % self.size]] = n
         return out
 
-    def _code_lengths(self, nodes, dense, k, seen):
+    def _code_lengths(self, nodes, dense, k):
         a, m = self.size, len(nodes[k])
-        escape, out, excluded = np.ones(m), np.zeros((m, a)), np.zeros((m, a), bool)
+        escape, out, excluded = np.ones(m), np.zeros((m, dense[k].shape[1])), np.zeros((m, dense[k].shape[1]), bool)
         for j in range(k, -1, -1):
             key = nodes[k] % a**j
             at = np.minimum(np.searchsorted(nodes[j], key), max(len(nodes[j]) - 1, 0))
@@ -127,7 +151,9 @@ class ByteTrees:
             before = np.concatenate([[0], before[:-1]])
             before[starts] = 0
             code += before * a**k
-        out[some] = np.add.reduceat(self.cost[self.index[code], sym], starts, axis=0, dtype=np.float64)
+        context = self.index[code]
+        for i in range(len(self.langs)):
+            out[some, i] = np.add.reduceat(self.tables[i][self.rows[i][context] + self.columns[i][sym]], starts, dtype=np.float64)
         return out
 
     def judge(self, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -176,7 +202,11 @@ def identify(docs: DataFrame, trees: ByteTrees) -> DataFrame:
 
 
 def reject_foreign(docs: DataFrame, trees: ByteTrees, most_bits: float = 7.0) -> DataFrame:
-    """Documents in some learned language, all columns; those without letters or that no model can compress below most_bits a byte go."""
+    """Text documents, all columns, in their order: those without letters (null and empty ones too), or that no language's model codes below most_bits a byte, go.
+
+    The bound lets text of a language near a learned one pass; it rejects what is no text (random bytes, encoded data)
+    and scripts that no learned language uses. Repeated rows have one fate; column names other than text do not matter.
+    """
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def each(batches):
