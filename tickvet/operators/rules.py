@@ -73,13 +73,16 @@ def row_occurrences(t: MarketTables, source: str, rules: list[tuple[RowRule, Map
     return rows.select("dataset_id", F.explode(found).alias("o")).select("dataset_id", "o.*")
 
 
+def split_evidence() -> dict[str, Column]:
+    volumes = F.when((col("volume") != 0) & (col("p_volume") > 0), F.round(F.try_divide(col("volume"), col("p_volume")), 2))
+    return {"return": F.round("ret", 4), "hypothesized_ratio": col("ratio"), "previous_close": col("p_close"), "close": col("close"), "volume_ratio": volumes}
+
+
 def split_not_adjusted(t: MarketTables, p) -> DataFrame:
     moved = t.enriched.withColumn("ratio", split_label(col("ret"), p["tolerance"])).filter("ratio IS NOT NULL")
     splits, days = t.splits.select(col("dataset_id").alias("ds"), col("ex_t").alias("split_t")), p["splitWindowDays"] * DAY_MS
     found = band_join(moved, splits, {"dataset_id": "ds"}, "t", "split_t", -days, days, F.abs(col("split_t") - col("t")) <= days, "left_anti")
-    volumes = F.when((col("volume") != 0) & (col("p_volume") > 0), F.round(F.try_divide(col("volume"), col("p_volume")), 2))
-    evidence = {"return": F.round("ret", 4), "hypothesized_ratio": col("ratio"), "previous_close": col("p_close"), "close": col("close"), "volume_ratio": volumes}
-    return occurrences(found, "SPLIT_NOT_ADJUSTED", col("ts_raw"), col("ret"), evidence, col("seq"))
+    return occurrences(found, "SPLIT_NOT_ADJUSTED", col("ts_raw"), col("ret"), split_evidence(), col("seq"))
 
 
 def _return_z() -> Column:
