@@ -10,7 +10,7 @@ from tickvet.operators import compare as cmp
 from tickvet.operators import engine
 from tickvet.operators.catalog import CHECK_RULES, COMPARE_RULES
 from tickvet.operators.rules import CHECKS
-from tickvet.plans import csvs, oracles, texts
+from tickvet.plans import csvs, oracles, streams, texts
 from tickvet.plans.derived import pair_tables, tables
 
 CONFIG = engine.Config({k: engine.Override(params=v) for k, v in oracles.PARAMS.items()}, {k: engine.Override(params=v) for k, v in oracles.COMPARE_PARAMS.items()})
@@ -71,11 +71,11 @@ def weekday_gaps(spark, sf_dir):
 
 QUERIES = {
     "check_reports": reports, "check_findings": findings, "check_scoreboard": scoreboard, "check_rule_frequency": frequency, "compare_reports": compare_reports,
-    "returns_profile": profile, "as_of_dividends": as_of_dividends, "aligned_days": aligned, "weekday_gaps": weekday_gaps, "schema_issues": texts.schema_issues, "schema_findings": texts.schema_findings, "csv_bars": csvs.csv_bars, "csv_files": csvs.csv_files,
+    "returns_profile": profile, "as_of_dividends": as_of_dividends, "aligned_days": aligned, "weekday_gaps": weekday_gaps, "schema_issues": texts.schema_issues, "schema_findings": texts.schema_findings, "csv_bars": csvs.csv_bars, "csv_files": csvs.csv_files, "stream_findings": streams.stream_findings,
     **{f"r_{r.lower()}": _check_rule(r) for r in CHECKS}, **{f"r_{r.lower()}": _compare_rule(r) for r in cmp.COMPARES},
 }
 SQL = {
     "check_reports": oracles.REPORTS_SQL, "check_findings": oracles.FINDINGS_SQL, "check_scoreboard": oracles.SCOREBOARD_SQL, "check_rule_frequency": oracles.FREQUENCY_SQL, "compare_reports": oracles.COMPARE_REPORTS_SQL,
-    "returns_profile": oracles.PROFILE_SQL, "as_of_dividends": oracles.AS_OF_SQL, "aligned_days": oracles.ALIGNED_SQL, "weekday_gaps": oracles.WEEKDAYS_SQL, "schema_issues": texts.ISSUES_SQL, "schema_findings": texts.FINDINGS_SQL, "csv_bars": csvs.BARS_SQL, "csv_files": csvs.FILES_SQL,
+    "returns_profile": oracles.PROFILE_SQL, "as_of_dividends": oracles.AS_OF_SQL, "aligned_days": oracles.ALIGNED_SQL, "weekday_gaps": oracles.WEEKDAYS_SQL, "schema_issues": texts.ISSUES_SQL, "schema_findings": texts.FINDINGS_SQL, "csv_bars": csvs.BARS_SQL, "csv_files": csvs.FILES_SQL, "stream_findings": streams.STREAM_SQL,
     **{f"r_{r.lower()}": oracles.rule_sql(r) for r in [*CHECKS, *cmp.COMPARES]},
 }
