@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tickvet.operators import config, engine
 from tickvet.operators.catalog import CHECK_RULES, COMPARE_RULES, SEVERITIES
 from tickvet.operators.compare import PairTables, compare
+from tickvet.operators.report_data import thinned
 from tickvet.operators.report_html import overlay, page
 from tickvet.operators.tables import MarketTables
 from tickvet.sources import IngestError, chart_errors, daily_series_errors, history, parse_chart, parse_daily_series, read_file, schema_findings, structure
@@ -139,7 +140,7 @@ def _check(args, cfg) -> int:
     t = _file(spark, args.file, args.symbol) if args.file else _fetched(spark, args.provider, args.symbol, args.range)
     t = t.written()
     reports, findings = engine.check(t, cfg, _structure(spark, args, t))
-    closes = [r.close for r in t.bars.filter("close IS NOT NULL").orderBy("seq").select("close").collect()] if args.html else []
+    closes = [r.close for r in thinned(t.bars.filter("close IS NOT NULL"), ["seq"], ["close"]).orderBy("point").select("close").collect()] if args.html else []
     code = _finish(args, reports, findings, "sanity_score", closes)
     if args.save:
         history.append(engine.history_entries(reports, findings, datetime.now(UTC).isoformat()), args.history_dir)

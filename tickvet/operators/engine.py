@@ -174,6 +174,27 @@ def rule_frequency(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule", "severity").agg(F.count("*").alias("datasets"), F.sum("occurrences").alias("occurrences"))
 
 
+def rollup(reports: DataFrame, findings: DataFrame) -> DataFrame:
+    """One grouping of all findings by source, dimension and rule, with subtotals; level tells which of them a row sums over.
+
+    level: 0 a rule, 1 a dimension (rule is null), 3 a source, 7 all. datasets: those with findings. audited, clean and
+    mean_score are of all datasets and stand on levels 3 and 7, null below: reports are rows of the same grouping, without
+    dimension and rule. Datasets of a null source are a source by themselves.
+    """
+    zero = lambda name, type_: F.lit(None).cast(type_).alias(name)
+    mine = findings.join(reports.select("dataset_id", "source"), "dataset_id").select("dataset_id", "source", "dimension", "rule", "severity", F.col("occurrences").cast("long").alias("occurrences"), zero("score", "int"), zero("is_clean", "boolean"))
+    told = reports.select("dataset_id", "source", zero("dimension", "string"), zero("rule", "string"), zero("severity", "string"), zero("occurrences", "long"), F.col("sanity_score").alias("score"), (sum(F.col(s) for s in SEVERITIES) == 0).alias("is_clean"))
+    one = F.when(F.col("rule").isNotNull(), F.col("dataset_id"))
+    out = mine.unionByName(told).rollup("source", "dimension", "rule").agg(
+        F.grouping_id().cast("int").alias("level"), F.countDistinct(one).alias("datasets"), F.count("severity").alias("findings"), *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES),
+        F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"), F.count("score").alias("audited"), F.count_if("is_clean").alias("clean"), F.round(F.avg("score"), 1).alias("mean_score"),
+    )
+    # On the levels of rules and dimensions the reports are groups without a name.
+    named = F.when(F.col("level") == 0, F.col("rule").isNotNull()).when(F.col("level") == 1, F.col("dimension").isNotNull()).otherwise(True)
+    above = lambda c: F.when(F.col("level") >= 3, F.col(c)).alias(c)
+    return out.filter(named).select("source", "dimension", "rule", "level", "datasets", "findings", *SEVERITIES, "occurrences", above("audited"), above("clean"), above("mean_score"))
+
+
 def dimension_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("dataset_id", "dimension").agg(F.count("*").alias("findings"))
 
