@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickvet.functions import COUNTRY_EXCHANGES, DAY_MS, finite, isin_valid, middle, positive, split_label, spread, weekdays_between
+from tickvet.functions.numbers import fixed
 from tickvet.operators.bands import band_join
 from tickvet.operators.catalog import CHECK_RULES
 from tickvet.operators.tables import MarketTables, as_of, by_seq, by_time
@@ -74,8 +75,8 @@ def row_occurrences(t: MarketTables, source: str, rules: list[tuple[RowRule, Map
 
 
 def split_evidence() -> dict[str, Column]:
-    volumes = F.when((col("volume") != 0) & (col("p_volume") > 0), F.round(F.try_divide(col("volume"), col("p_volume")), 2))
-    return {"return": F.round("ret", 4), "hypothesized_ratio": col("ratio"), "previous_close": col("p_close"), "close": col("close"), "volume_ratio": volumes}
+    volumes = F.when((col("volume") != 0) & (col("p_volume") > 0), fixed(F.try_divide(col("volume"), col("p_volume")), 2))
+    return {"return": fixed("ret", 4), "hypothesized_ratio": col("ratio"), "previous_close": col("p_close"), "close": col("close"), "volume_ratio": volumes}
 
 
 def split_not_adjusted(t: MarketTables, p) -> DataFrame:
@@ -93,7 +94,7 @@ def _return_spike(p) -> list[Column]:
     z = col("return_z")
     when = (col("ret_count") >= p["minReturns"]) & finite(col("ret")) & (F.abs("ret") >= p["minReturnPct"]) & (F.abs(z) > p["zscoreThreshold"]) & split_label(col("ret"), p["splitTolerance"]).isNull()
     level = F.when((F.abs(z) >= 5) | (F.abs("ret") >= 0.08), CHECK_RULES["RETURN_SPIKE"].severity).otherwise("info")
-    return [hit("RETURN_SPIKE", when, col("ts_raw"), z, {"return": F.round("ret", 4), "modified_zscore": F.round(z, 2)}, col("seq"), severity=level)]
+    return [hit("RETURN_SPIKE", when, col("ts_raw"), z, {"return": fixed("ret", 4), "modified_zscore": fixed(z, 2)}, col("seq"), severity=level)]
 
 
 return_spike = RowRule("enriched", _return_spike, lambda p: [{"return_z": _return_z()}])
@@ -112,7 +113,7 @@ def _price_spike(p) -> list[Column]:
     far = lambda c: F.abs(c - med) > p["theta"] * sigma
     when = (sigma > 0) & far(col("close")) & ~(finite(col("p_close")) & far(col("p_close"))) & (F.try_divide(F.abs(col("close") - med), med) >= p["minDeviationPct"]) & positive(col("n_close")) & ~far(col("n_close"))
     away = F.try_divide(col("close") - med, med) * 100
-    return [hit("PRICE_SPIKE_INTRADAY", when, col("ts_raw"), F.abs(away), {"close": col("close"), "neighborhood_median": med, "deviation_pct": F.round(away, 2), "reverted_to": col("n_close")}, col("seq"))]
+    return [hit("PRICE_SPIKE_INTRADAY", when, col("ts_raw"), F.abs(away), {"close": col("close"), "neighborhood_median": med, "deviation_pct": fixed(away, 2), "reverted_to": col("n_close")}, col("seq"))]
 
 
 price_spike_intraday = RowRule("enriched", _price_spike, _near)
@@ -218,7 +219,7 @@ def _around(p) -> list[dict[str, Column]]:
 def _currency_scale(p) -> list[Column]:
     before, after = col("med_before"), col("med_after")
     factor = F.when(col("scale_way") == "up", F.try_divide(after, before)).otherwise(F.try_divide(before, after))
-    return [hit("CURRENCY_SCALE_SUSPECT", col("scale_same"), col("ts_raw"), factor, {"scale_factor": F.round(factor, 1), "direction": col("scale_way"), "median_before": F.round(before, 4), "median_after": F.round(after, 4)}, col("seq"))]
+    return [hit("CURRENCY_SCALE_SUSPECT", col("scale_same"), col("ts_raw"), factor, {"scale_factor": fixed(factor, 1), "direction": col("scale_way"), "median_before": fixed(before, 4), "median_after": fixed(after, 4)}, col("seq"))]
 
 
 currency_scale_suspect = RowRule("enriched", _currency_scale, _around)
@@ -256,7 +257,7 @@ def exdate_misplaced(t, p):
     fits = (col("drop") >= p["minMatchRatio"] * col("expected")) & (col("drop") <= p["maxMatchRatio"] * col("expected"))
     found = band_join(d, drops, {"dataset_id": "ds"}, "idx", "rn", 1, int(p["searchWindowSessions"]), fits)
     hit = found.groupBy("dataset_id", "seq", "ex_raw", "expected", "actual").agg(F.min(F.struct("rn", "at")).alias("m"))
-    return occurrences(hit, "EXDATE_MISPLACED", col("ex_raw"), col("expected") * 100, {"expected_drop_pct": F.round(col("expected") * 100, 2), "actual_drop_pct": F.round(col("actual") * 100, 2), "matched_date": col("m.at")}, col("seq"))
+    return occurrences(hit, "EXDATE_MISPLACED", col("ex_raw"), col("expected") * 100, {"expected_drop_pct": fixed(col("expected") * 100, 2), "actual_drop_pct": fixed(col("actual") * 100, 2), "matched_date": col("m.at")}, col("seq"))
 
 
 def div_not_adjusted(t, p):
@@ -269,7 +270,7 @@ def div_not_adjusted(t, p):
     events = d.select("dataset_id", "seq", "ex_raw", "amount", "expected", (col("idx") - 1).cast("long").alias("ex_t"))
     hit = as_of(events, k.select(col("ds").alias("dataset_id"), col("frn").cast("long").alias("t"), col("frn").alias("rn"), "f"))
     hit = hit.filter(F.size("bar.f") >= p["minBarsBefore"]).withColumn("med", middle(col("bar.f"))).filter(1 - col("med") < p["underAdjustmentRatio"] * col("expected"))
-    return occurrences(hit, "DIV_NOT_ADJUSTED", col("ex_raw"), col("med"), {"median_factor_before": F.round("med", 6), "dividend_amount": col("amount"), "expected_adjustment_pct": F.round(col("expected") * 100, 3), "observed_adjustment_pct": F.round((1 - col("med")) * 100, 3)}, col("seq"))
+    return occurrences(hit, "DIV_NOT_ADJUSTED", col("ex_raw"), col("med"), {"median_factor_before": fixed("med", 6), "dividend_amount": col("amount"), "expected_adjustment_pct": fixed(col("expected") * 100, 3), "observed_adjustment_pct": fixed((1 - col("med")) * 100, 3)}, col("seq"))
 
 
 def _div_scale_100x(p) -> list[Column]:
@@ -301,7 +302,7 @@ def div_special_misclassified(t, p):
     alone = p["isolationDays"] * DAY_MS
     hit = band_join(hit, others, {"dataset_id": "ds"}, "ex_t", "x", -alone, alone, (col("s") != col("seq")) & (F.abs(col("x") - col("ex_t")) <= alone), "left_anti")
     ratio = F.try_divide(col("amount"), col("peer"))
-    return occurrences(hit, "DIV_SPECIAL_MISCLASSIFIED", col("ex_raw"), ratio, {"amount": col("amount"), "peer_median": col("peer"), "ratio": F.round(ratio, 2)}, col("seq"))
+    return occurrences(hit, "DIV_SPECIAL_MISCLASSIFIED", col("ex_raw"), ratio, {"amount": col("amount"), "peer_median": col("peer"), "ratio": fixed(ratio, 2)}, col("seq"))
 
 
 def _split_ratio(p) -> list[Column]:
@@ -321,14 +322,14 @@ def action_missing_from_factor(t, p):
     b = t.factored.join(last, "dataset_id", "left").filter(col("last_event").isNull() | (col("t") > col("last_event")))
     hit = b.groupBy("dataset_id").agg(F.count("*").alias("n"), F.median("adj_factor").alias("med"), F.min(F.struct("rn", "ts_raw")).alias("f"), F.coalesce(F.first("dividends"), lit(0)).alias("dividends"), F.coalesce(F.first("splits"), lit(0)).alias("splits"))
     hit = hit.filter((col("n") >= max(1, p["minBarsAfter"])) & (col("med") < 1 - p["factorDeviationTolerance"]))
-    return occurrences(hit, "CORPORATE_ACTION_MISSING_FROM_FACTOR", col("f.ts_raw"), col("med"), {"median_factor": F.round("med", 6), "bars_examined": col("n"), "registered_dividends": col("dividends"), "registered_splits": col("splits")})
+    return occurrences(hit, "CORPORATE_ACTION_MISSING_FROM_FACTOR", col("f.ts_raw"), col("med"), {"median_factor": fixed("med", 6), "bars_examined": col("n"), "registered_dividends": col("dividends"), "registered_splits": col("splits")})
 
 
 def _marketcap_mismatch(p) -> list[Column]:
     implied = col("shares_outstanding") * col("close")
     off = F.try_divide(F.abs(col("market_cap") - implied), col("market_cap"))
     when = positive(col("market_cap")) & positive(col("shares_outstanding")) & col("close").isNotNull() & (off > p["tolerancePct"])
-    return [hit("MARKETCAP_MISMATCH", when, col("last_raw"), off, {"marketCap": col("market_cap"), "implied_market_cap": implied, "deviation_pct": F.round(off * 100, 2)})]
+    return [hit("MARKETCAP_MISMATCH", when, col("last_raw"), off, {"marketCap": col("market_cap"), "implied_market_cap": implied, "deviation_pct": fixed(off * 100, 2)})]
 
 
 marketcap_mismatch = RowRule("facts", _marketcap_mismatch)
