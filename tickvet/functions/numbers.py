@@ -59,6 +59,15 @@ def _double(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("double")
 
 
+def _nearest(a: Column, scale: Column) -> Column:
+    """The whole number nearest to a * scale, the larger of two as near; a is not negative, the product below 2^53."""
+    # a * scale is p + error exactly: the product of halves.
+    high = _SPLIT * a - (_SPLIT * a - a)
+    p = a * scale
+    error = (high * scale - p) + (a - high) * scale
+    return F.floor(p) + F.when(((p - F.floor(p)) - 0.5) + error >= 0, 1).otherwise(0)
+
+
 def fixed_text(x: Column | str, digits: Column | int) -> Column:
     """x with so many digits (0 to 7) after the point: the nearest to the exact binary value, the larger amount of two as near.
 
@@ -66,13 +75,6 @@ def fixed_text(x: Column | str, digits: Column | int) -> Column:
     """
     n = F.lit(digits) if isinstance(digits, int) else digits
 
-    def fraction(r: Column, scale: Column) -> Column:
-        # r * scale is p + error exactly (the product of halves); its nearest whole number follows from both.
-        high = _SPLIT * r - (_SPLIT * r - r)
-        p = r * scale
-        error = (high * scale - p) + (r - high) * scale
-        return F.floor(p) + F.when(((p - F.floor(p)) - 0.5) + error >= 0, 1).otherwise(0)
-
     def text(v: Column, scale: Column) -> Column:
         whole = F.floor(F.abs(v))
 
@@ -81,7 +83,7 @@ def fixed_text(x: Column | str, digits: Column | int) -> Column:
             body = F.concat((whole + F.when(over, 1).otherwise(0)).cast("string"), F.when(n > 0, F.concat(F.lit("."), F.lpad(F.when(over, 0).otherwise(f).cast("string"), n, F.lit("0")))).otherwise(""))
             return F.concat(F.when((v < 0) & ((whole > 0) | (f > 0)), "-").otherwise(""), body)
 
-        return let(fraction(F.abs(v) - whole, scale), joined)
+        return let(_nearest(F.abs(v) - whole, scale), joined)
 
     big = lambda v: F.isnan(v) | (F.abs(v) >= 1e18)
     return let(_double(x), lambda v: F.when(v.isNull(), None).when(big(v), number_text(v)).otherwise(text(v, F.pow(F.lit(10.0), n))))
@@ -89,4 +91,11 @@ def fixed_text(x: Column | str, digits: Column | int) -> Column:
 
 def fixed(x: Column | str, digits: int) -> Column:
     """The double next to fixed_text()."""
-    return fixed_text(x, digits).cast("double")
+    scale = F.lit(10.0**digits)
+
+    def rounded(v: Column) -> Column:
+        near = _nearest(F.abs(v), scale) / scale
+        # Doubles from 2^53 / scale on are so far apart that they are their own nearest; so are NaN and infinities.
+        return F.when(F.abs(v) < 9e15 / 10.0**digits, F.when(v < 0, F.lit(0.0) - near).otherwise(near)).otherwise(v)
+
+    return let(_double(x), rounded)

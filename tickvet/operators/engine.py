@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickvet.operators.catalog import ACTIONS, CHECK_RULES, COMPARE_RULES, PENALTIES, REFERENCES, SEVERITIES, Rule, order_of
+from tickvet.operators.explain import told
 from tickvet.operators.rules import CHECKS, RowRule, row_occurrences
 from tickvet.operators.tables import MarketTables
 from tickvet.shared import written
@@ -93,9 +94,10 @@ def collapse(found: DataFrame, rules: Mapping[str, Rule], overrides: Mapping[str
     severity = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in forced.items() for x in kv)), "rule"), "f.severity") if forced else F.col("f.severity")
     links = F.create_map(*(x for k, v in REFERENCES.items() if k in rules for x in (F.lit(k), F.array(*map(F.lit, v)))))
     out = out.select("dataset_id", "rule", severity.alias("severity"), "f.where_date", "f.value", "f.evidence", "occurrences")
+    text = told(F.col("rule"), F.col("evidence"), rules, {k: o.params for k, o in overrides.items() if k in rules})
     return out.withColumns({
         "action": _lookup(F.col("severity"), ACTIONS), "dimension": _lookup(F.col("rule"), {r.id: r.dimension for r in rules.values()}),
-        "explanation": F.concat(F.col("rule"), F.lit(": "), _lookup(F.col("rule"), {r.id: r.description for r in rules.values()}), F.when(F.col("where_date").isNotNull(), F.concat(F.lit(", at "), "where_date")).otherwise(""), F.when(F.col("occurrences") > 1, F.concat(F.lit(" (first of "), F.col("occurrences").cast("string"), F.lit(")"))).otherwise("")),
+        "explanation": F.concat(F.concat_ws(": ", F.col("rule"), _lookup(F.col("rule"), {r.id: r.description for r in rules.values()}), F.nullif(text, F.lit(""))), F.when(F.col("where_date").isNotNull(), F.concat(F.lit(", at "), "where_date")).otherwise(""), F.when(F.col("occurrences") > 1, F.concat(F.lit(" (first of "), F.col("occurrences").cast("string"), F.lit(")"))).otherwise("")),
         "severity_rank": _lookup(F.col("severity"), {s: i for i, s in enumerate(SEVERITIES)}), "rule_rank": _lookup(F.col("rule"), order_of(dict(rules))),
         "references": F.coalesce(F.try_element_at(links, "rule"), F.array().cast("array<string>")),
     })

@@ -9,6 +9,7 @@ from tickvet.functions import weekdays_between
 from tickvet.operators import compare as cmp
 from tickvet.operators import engine, report_data
 from tickvet.operators.catalog import CHECK_RULES, COMPARE_RULES
+from tickvet.operators.explain import evidence_text
 from tickvet.operators.rules import CHECKS
 from tickvet.plans import csvs, oracles, streams, texts
 from tickvet.plans.derived import pair_tables, tables
@@ -37,7 +38,8 @@ def reports(spark, sf_dir):
 
 
 def findings(spark, sf_dir):
-    return _checked(spark, sf_dir)[1].select("dataset_id", "rule", "severity", F.coalesce("where_date", F.lit("")).alias("where_date"), "occurrences")
+    got = _checked(spark, sf_dir)[1]
+    return got.select("dataset_id", "rule", "severity", F.coalesce("where_date", F.lit("")).alias("where_date"), "occurrences", "action", "dimension", "explanation", evidence_text(F.col("evidence")).alias("evidence"))
 
 
 def scoreboard(spark, sf_dir):
