@@ -170,3 +170,14 @@ def test_alignment_dictionary(spark):
     by_docs = tokenalign.pairs(tokenalign.links(groups, *files), "docs").collect()
     a, b = tokenalign.unpacked(the[0].ids)
     assert [(r["count"], r.best) for r in by_docs if (r.a, r.b) == (a[0], b[0])] == [(2, True)]
+
+
+def test_alignment_rows_do_not_grow_with_a_chunk(spark):
+    # Parquet is read by batches of thousands of rows, so a row must not hold a chunk.
+    files = vocabulary(BPE_FILE), vocabulary(PIECE_FILE)
+    widest = []
+    for n in (20, 400):
+        docs = spark.createDataFrame([(d, f"a row of words {d} and {d * 7}", "", 0, "", "") for d in range(n)], DOCS).coalesce(1)
+        found = tokenalign.chunks(docs, *files)
+        widest.append(max(len(str(tuple(r))) for r in found.collect()))
+    assert widest[1] < 1.5 * widest[0]

@@ -5,6 +5,7 @@ cut; what lies between two cuts is a group: ids of A and ids of B for the same b
 these are i + j - 1 pairs, one for each stretch between neighbouring ends of either.
 
 1. Texts are encoded by chunks of about 1 MB, and each chunk interns its groups: its documents become places in the chunk's own list of distinct groups.
+   A document is a row and so is a group of the list: Parquet is read by batches of rows, which must be small whatever the number of chunks in a file.
 2. Chunks' lists are summed by the groups' ids (not by a hash of them): the dictionary, with occurrences and documents of each.
 3. Each distinct group is expanded to its links once; times its occurrences (or documents) they give the counts of id pairs.
 4. Of each group: the number of its links whose count is the highest of their B id, and the sum of counts. These are joined back by group to the
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,12 +98,13 @@ def grouped(ids_a: np.ndarray, ids_b: np.ndarray, length_a: np.ndarray, length_b
     return np.concatenate([[0], a[:-1] + 1]).astype(np.int64), np.concatenate([[0], b[:-1] + 1]).astype(np.int64)
 
 
-CHUNK = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, seq array<int>, ids array<binary>, freq array<long>, docs array<long>"
+CHUNK = "chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, seq binary, at int, ids binary, freq long, docs long"
 
 
 def chunks(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int = 1 << 20) -> DataFrame:
-    """A row for each chunk of documents: ids, token counts and digest of each document; the places of all its groups, in order, in the
-    chunk's list of distinct groups; and that list with occurrences and documents. Materialised.
+    """Two kinds of rows of each chunk of documents. A document: its id, token counts and digest, and as 4-byte numbers the places of
+    its groups, in order, in the chunk's list of distinct groups. A group of that list: its place `at`, null for documents, with
+    occurrences and documents. Materialised.
     """
 
     def each(batches):
@@ -109,13 +112,13 @@ def chunks(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int = 1 << 20
 
         encoders, chunk = Encoders(a_file, b_file), TaskContext.get().partitionId() << 31
         for batch in slices(batches, most_bytes=chunk_bytes):
-            yield _chunk(encoders, chunk, batch)
+            yield from _chunk(encoders, chunk, batch)
             chunk += 1
 
     return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, CHUNK))
 
 
-def _chunk(e: Encoders, chunk: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+def _chunk(e: Encoders, chunk: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     of_a, of_b = e.encode(batch.column("text").to_pylist())
     n_a, n_b = np.array([len(x) for x in of_a], np.int64), np.array([len(x) for x in of_b], np.int64)
     a, b = np.concatenate([*of_a, np.zeros(0, np.int32)]), np.concatenate([*of_b, np.zeros(0, np.int32)])
@@ -146,10 +149,18 @@ def _chunk(e: Encoders, chunk: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     pairs = np.unique(seq * max(len(n_a), 1) + of_doc)
     in_docs = np.bincount(pairs // max(len(n_a), 1), minlength=len(first))
     ids = [_packed(a[i : i + k], b[j : j + m]) for i, k, j, m in zip(begin_a[first].tolist(), size_a[first].tolist(), begin_b[first].tolist(), size_b[first].tolist(), strict=True)]
-    one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind))
-    long = pa.int64()
-    columns = [pa.array([chunk], long), one(batch.column("doc_id"), long), one(n_a, long), one(n_b, long), one(n_groups, long), one(digests, pa.string()), one(seq.astype(np.int32), pa.int32()), one(ids, pa.binary()), one(freq, long), one(in_docs, long)]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CHUNK.split(", ")])
+    kinds = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(c, kinds[kind]) for c, kind in (c.split() for c in CHUNK.split(", "))])
+
+    def rows(many: int, **columns) -> pa.RecordBatch:
+        columns["chunk"] = np.full(many, chunk, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(many, f.type) for f in schema], schema=schema)
+
+    places = np.split(seq.astype("<i4"), ends[:-1])
+    yield rows(len(n_a), doc_id=batch.column("doc_id"), n_a=n_a, n_b=n_b, n_groups=n_groups, groups_sha256=digests, seq=[x.tobytes() for x in places])
+    for i in range(0, len(first), 10_000):
+        some = slice(i, i + 10_000)
+        yield rows(len(ids[some]), at=np.arange(i, i + len(ids[some])), ids=ids[some], freq=freq[some], docs=in_docs[some])
 
 
 def _packed(a: np.ndarray, b: np.ndarray) -> bytes:
@@ -164,7 +175,7 @@ def unpacked(ids: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def listed(found: DataFrame) -> DataFrame:
     """(chunk, at, ids, freq, docs): the lists of all chunks, a row for each group."""
-    return found.select("chunk", F.posexplode(F.arrays_zip("ids", "freq", "docs")).alias("at", "y")).select("chunk", "at", "y.ids", "y.freq", "y.docs")
+    return found.filter("at IS NOT NULL").select("chunk", "at", "ids", "freq", "docs")
 
 
 def dictionary(found: DataFrame) -> DataFrame:
@@ -216,8 +227,8 @@ def align(docs: DataFrame, a_file: str, b_file: str, times: str = "freq", chunk_
         at = scores.column("at").to_numpy()
         best, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         best[at], total[at] = scores.column("best").to_numpy(), scores.column("sum").to_numpy()
-        row = {k: held.column(k).combine_chunks().flatten() for k in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "seq")}
-        seq, many = row.pop("seq").to_numpy(), row["n_groups"].to_numpy()
+        row = {k: held.column(k) for k in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")}
+        seq, many = np.frombuffer(b"".join(held.column("seq").to_pylist()), "<i4"), row["n_groups"].to_numpy()
         added = []
         for x in (best, total):
             sums = np.concatenate([[0], np.cumsum(x[seq])])
@@ -226,6 +237,6 @@ def align(docs: DataFrame, a_file: str, b_file: str, times: str = "freq", chunk_
         n_links = row["n_a"].to_numpy() + row["n_b"].to_numpy() - many
         return pa.table(row | {"n_links": pa.array(n_links), "n_best": pa.array(added[0]), "count_sum": pa.array(added[1])}).select(["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    texts = found.select(F.col("chunk").alias("part"), "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "seq")
+    texts = found.filter("at IS NULL").select(F.col("chunk").alias("part"), "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "seq")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return texts.groupBy("part").cogroup(back.groupBy("chunk")).applyInArrow(add, schema)
