@@ -8,6 +8,8 @@ from tickvet.operators import config, engine, report_html
 from tickvet.operators.catalog import CHECK_RULES
 from tickvet.operators.compare import PairTables, compare
 from tickvet.operators.rules import CHECKS
+from tickvet.operators.tables import MarketTables
+from tickvet.shared import held
 from tickvet.sources import IngestError, bad_json, header_map, history, parse_chart, parse_daily_series, parse_json, read_file, schema_findings
 
 
@@ -132,3 +134,19 @@ def test_history_gate_config_html(spark, tmp_path):
     page = report_html.page("<X>", 85, {"warning": 1}, [{"rule": "STALE_PRICE", "severity": "warning", "explanation": "</script>"}], [1.0, 2.0])
     assert "<X>" not in page and page.count("</script>") == 1 and report_html.safe_href("javascript:x") is None
     assert engine.rule_catalog(spark).count() == 36
+
+
+def test_tasks_of_windows_stay_small(spark):
+    # A task's sorts grow with its share of the bars; with more bars there are more tasks, not larger ones.
+    n = F.col("id")
+    bars = spark.range(400_000).select(
+        F.concat(F.lit("d"), (n % 4000).cast("string")).alias("dataset_id"), (n / 4000).cast("int").alias("seq"), n.cast("string").alias("ts_raw"), n.alias("t"),
+        *(F.rand(i).alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume", "adj_factor"))),
+    )
+    nothing = spark.createDataFrame([], "dataset_id string")
+    settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.shuffle.partitions": "200"}
+    with held(spark, settings):
+        enriched = MarketTables(nothing, bars, nothing, nothing).written(bars=False).enriched
+    files = len(enriched.inputFiles())
+    assert files > 4  # the cores of this session
+    assert enriched.count() == 400_000
