@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tickvet.llm import common, linejoin
@@ -78,3 +79,13 @@ def test_order_of_words_is_free(spark, monkeypatch):
     for sample in (1, 16, 1 << 20):
         monkeypatch.setattr(linejoin, "SAMPLE", sample)
         assert _removed(table) == _by_definition(rows)
+
+
+def test_shingles_are_counted_in_all_documents(spark):
+    from tickvet.llm import docjoin
+
+    docs = spark.createDataFrame([(d, f"one two three four five a{d} b{d} c{d} d{d} e{d}") for d in range(300)], "doc_id long, text string")
+    levels = docjoin.common_shingles(docs, 5)
+    batch = pa.RecordBatch.from_pydict({"text": ["one two three four five"]})
+    shingle = docjoin.shingle_sets(batch, 5)[0][0]
+    assert levels[int(shingle) & (len(levels) - 1)] == 32  # floor(4 log2 300)

@@ -4,8 +4,8 @@ A document is the set of its 5-word shingles (A-Z lower-cased, words as white sp
 shingle). Documents of a Jaccard similarity of num/den or more link; a group is what links connect. No pair is missed:
 
 1. Documents of the same set are one class, named by a 64-bit hash of the set; the join is over classes.
-2. Shingles are ordered by rarity (levels of those common in a bounded sample, then hash; any order is right, a good one is
-   fast). A prefix is the n - ceil(n num/den) + 1 rarest of n; two similar sets share one of them. Prefixes are dealt to shards by
+2. Shingles are ordered by rarity (levels of their counts in all documents, by 2^20 buckets of hashes, then hash; any order is right,
+   a good one is fast). A prefix is the n - ceil(n num/den) + 1 rarest of n; two similar sets share one of them. Prefixes are dealt to shards by
    shingle, and only shingles that several classes have there go on.
 3. Pairs that the caller proposes (simhash.py: links of fingerprints) are verified first; what they settle is asked no more.
 4. Star rounds verify each class with one likely partner, so a large group is settled by about one pair a class. The last
@@ -65,18 +65,22 @@ def classes(docs: DataFrame, key: str, width: int) -> DataFrame:
     return materialize(docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(each, "key long, c long, n int"))
 
 
-def common_shingles(docs: DataFrame, width: int, share: float, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and levels of the shingles most common in a share of the documents."""
+def common_shingles(docs: DataFrame, width: int, buckets: int = 1 << 20) -> np.ndarray:
+    """A level for each bucket of shingles (the low bits of their hash), from the bucket's count in all documents."""
 
     def each(batches):
+        count = np.zeros(buckets, np.int64)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch, width)[0].view(np.int64))], ["h"])
+            count += np.bincount((shingle_sets(batch, width)[0] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        some = np.flatnonzero(count)
+        for at in np.split(some, range(100_000, len(some), 100_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["bucket", "n"])
 
-    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    found = some.mapInArrow(each, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(most).toArrow()
-    h = found.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.floor(4 * np.log2(found.column("count").to_numpy()[order])).astype(np.int64)
+    counted = docs.select("text").mapInArrow(each, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = counted.select("bucket", F.floor(4 * F.log2("n")).cast("tinyint").alias("level")).toArrow()
+    levels = np.zeros(buckets, np.uint8)
+    levels[found.column("bucket").to_numpy()] = found.column("level").to_numpy()
+    return levels
 
 
 def met_prefixes(docs: DataFrame, width: int, num: int, den: int, common, shards: int) -> DataFrame:
@@ -86,15 +90,12 @@ def met_prefixes(docs: DataFrame, width: int, num: int, den: int, common, shards
 
     def deal(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        hot, levels = held.value
+        levels = held.value
         for batch in slices(batches):
             s, of, c = shingle_sets(batch, width)
             if not len(s):
                 continue
-            level = np.zeros(len(s), np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                level = np.where(hot[at] == s, levels[at], 0)
+            level = levels[(s & np.uint64(len(levels) - 1)).astype(np.int64)]
             order = np.lexsort((s, level, of))
             n = np.bincount(of, minlength=batch.num_rows)
             place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
@@ -212,7 +213,7 @@ def _verified(docs: DataFrame, key: str, firsts: DataFrame, pairs: DataFrame, wi
     return out
 
 
-def groups(docs: DataFrame, key: str = "doc_id", width: int = 5, num: int = 4, den: int = 5, sample_rows: int = 10_000, shard_rows: int = 250_000, stars: int = 2, proposed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", width: int = 5, num: int = 4, den: int = 5, shard_rows: int = 250_000, stars: int = 2, proposed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, root): the group of every document; materialised. key: a column of distinct longs.
 
     proposed: from (key, c), the class of every document, to pairs (a, b) of classes to verify before any others.
@@ -220,8 +221,8 @@ def groups(docs: DataFrame, key: str = "doc_id", width: int = 5, num: int = 4, d
     from tickvet.llm.simhash import components
 
     of = classes(docs, key, width)
-    rows, shingles = of.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    common = common_shingles(docs, width, min(1.0, sample_rows / max(rows, 1)))
+    shingles = of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = common_shingles(docs, width)
     met = met_prefixes(docs, width, num, den, common, max(1, shingles * (den - num) // den // shard_rows + 1))
     firsts = materialize(of.groupBy("c").agg(F.min("key").alias("key")))
     edges = [_verified(docs, key, firsts, proposed(of), width, num, den)] if proposed else []
