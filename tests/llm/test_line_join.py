@@ -89,3 +89,10 @@ def test_shingles_are_counted_in_all_documents(spark):
     batch = pa.RecordBatch.from_pydict({"text": ["one two three four five"]})
     shingle = docjoin.shingle_sets(batch, 5)[0][0]
     assert levels[int(shingle) & (len(levels) - 1)] == 32  # floor(4 log2 300)
+
+
+def test_words_are_counted_in_all_lines(spark):
+    docs = spark.createDataFrame([(d, f"Same{chr(9)}own{d}\nsame b{d}") for d in range(100)], "doc_id long, text string")
+    steps = linejoin.rarity(docs).first().a
+    b = docs.select(F.xxhash64(F.lit("same")).bitwiseAND(F.lit(linejoin.BUCKETS - 1)).alias("b")).first().b
+    assert steps[b] == 15 - 32  # floor(2 log2 201)
