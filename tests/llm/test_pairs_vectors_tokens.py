@@ -74,6 +74,26 @@ def test_metric_join_of_nothing(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in alone) == [(1, 3, 1), (2, 0, 2)]
 
 
+def join_rows(plan):
+    """Rows that the sorted joins of an executed plan by region and band made."""
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "SortMergeJoin" and "[region" in plan.simpleString(100) else 0
+    return own + sum(join_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_pairs_meet_in_their_least_cell(spark):
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(12):
+        text = list(base)
+        text[int(rng.integers(400))] = f"own{i}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cells = metricjoin.first_cells(metricjoin.prints(docs, 3, 9, 10)).selectExpr("*", "c AS root", "CAST(NULL AS double) AS d")
+    pairs = metricjoin.close(cells, 9, 10)
+    assert len(pairs.collect()) == 66
+    assert 66 <= join_rows(pairs._jdf.queryExecution().executedPlan()) <= 2 * 66  # one row a common cell would be some thousand
+
+
 VECTORS = "vec_id long, embedding array<float>, x string, k int, component int"
 
 

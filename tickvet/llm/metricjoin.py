@@ -17,7 +17,8 @@ shingle). The Jaccard distance 1 - both / either is a metric; two documents link
    of p: in all such windows a class is replicated. So each linking pair meets in a cell, which is split again if it is still large.
 5. Cells of `leaf` classes or fewer, and those that a split left nearly whole, are joined: pairs of unlike components that pass the
    length window, the window |d(a, p) - d(b, p)| <= r of their pivot and the parity bitmap (bits that differ are at most
-   the shingles of one set only).
+   the shingles of one set only). Near copies share hundreds of cells: a pair is left to the least of these if it is among the
+   16 least cells of both (then so is any lesser one that they share).
 6. Pairs, of stars too, are verified on the whole sets, which are made once, for the classes that meet another only.
 
 Regions are keys of shuffles; nothing of a cell is held by one task but the rows of a sorted join, which Spark splits if they are skewed.
@@ -200,16 +201,18 @@ def star(cells: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     return members.join(chosen, "region").filter(_fits(num, den)).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
 
 
-def close(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of classes of a cell that may link."""
+def close(cells: DataFrame, num: int, den: int, told: int = 16) -> DataFrame:
+    """(a, b): pairs of classes of a cell that may link; told: how many of its least cells a class is known by."""
     band = F.floor(F.log("n") / _band_width(num, den))  # lengths that fit are in one band or in two next to each other
-    rows = cells.withColumn("band", band)
-    kept = ("c", "n", "d", "root", *SKETCH)
+    least = cells.groupBy("c").agg(F.slice(F.array_sort(F.collect_set("region")), 1, told).alias("least"))
+    rows = cells.join(least, "c").withColumn("band", band)
+    kept = ("c", "n", "d", "root", "least", *SKETCH)
     a = rows.select("region", F.col("band").alias("at"), F.col("band").alias("band_a"), *(F.col(k).alias(f"{k}_a") for k in kept))
     b = rows.select("region", F.explode(F.array("band", F.col("band") - 1)).alias("at"), F.col("band").alias("band_b"), *(F.col(k).alias(f"{k}_b") for k in kept))
     once = (F.col("band_a") != F.col("band_b")) | (F.col("c_a") < F.col("c_b"))
     window = F.coalesce(F.abs(F.col("d_a") - F.col("d_b")), F.lit(0.0)) <= 1 - num / den + EPS
-    pairs = a.hint("merge").join(b, ["region", "at"]).filter(once & _fits(num, den) & window)
+    elsewhere = F.coalesce(F.array_min(F.array_intersect("least_a", "least_b")) < F.col("region"), F.lit(False))
+    pairs = a.hint("merge").join(b, ["region", "at"]).filter(once & _fits(num, den) & window & ~elsewhere)
     return pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
 
 
