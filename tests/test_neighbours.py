@@ -56,3 +56,21 @@ def test_late_and_given_up(spark, tmp_path):
     rows = run(spark, tmp_path, batches, lambda s: with_neighbours(s, most_held=2)).collect()
     got = sorted((r.seq if r.seq is not None else -1, r.late, r.p_seq, r.run_n) for r in rows)
     assert got == [(-1, True, None, None), (0, False, None, 1), (0, True, None, None), (1, True, None, None), (2, False, 0, 1), (3, False, 2, 2), (4, False, 3, 3), (5, False, 4, 4)]
+
+
+def test_buckets_hold_many_datasets(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [r for i in range(30) for r in series(rng, f"d{i}", 7)] + series(rng, None, 5)
+    order = rng.sample(rows, len(rows))
+    batches = [order[i::3] for i in range(3)]
+
+    def kept(name, **buckets):
+        (path := tmp_path / name).mkdir()
+        got = run(spark, path, batches, lambda s: with_neighbours(s, **buckets).select("dataset_id", "seq", "close", "p_close", "p_seq", "run_n", "run_seq", "late"))
+        return sorted(map(str, got.collect()))
+
+    assert kept("few", buckets=2) == kept("many")
+    state = spark.read.format("statestore").load(f"file://{tmp_path}/few/state")
+    assert state.count() <= 2  # not one for each of 31 datasets
+    late = [r for r in kept("again", buckets=2) if "late=True" in r]
+    assert late == []

@@ -19,9 +19,9 @@ def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars dealt to micro-batches without regard to their order, each dataset's to all of them; occurrences of the rules of neighbours."""
     t = tables(spark, sf_dir)
     source, sink, state = fresh_path(spark), fresh_path(spark), fresh_path(spark)
-    dealt = t.bars.withColumn("b", F.pmod(F.xxhash64("dataset_id", "seq"), F.lit(BATCHES)))
-    dealt.repartition(BATCHES, "b").write.partitionBy("b").parquet(source)
-    bars = spark.readStream.schema(f"{BARS}, b long").option("maxFilesPerTrigger", 1).parquet(source).drop("b")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BATCHES)  # of a micro-batch
+    t.bars.repartition(BATCHES * files, F.xxhash64("dataset_id", "seq")).write.parquet(source)
+    bars = spark.readStream.schema(BARS).option("maxFilesPerTrigger", files).parquet(source)
     told = neighbour_occurrences(bars, t.splits)
     told.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     found = settled(spark.read.schema(told.schema).parquet(sink))

@@ -6,7 +6,8 @@ has more than `most_held` bars waiting at the end of a micro-batch gives the mis
 seq that comes again, and bars without seq are `late`: they pass, without neighbours, and no rule looks at them.
 
 State of a dataset: the last bar, the run that it belongs to, and the bars that wait (most_held at most between batches;
-a micro-batch holds a dataset's bars of that batch in one task). NaN becomes null on the way; rules treat both alike.
+a micro-batch holds a dataset's bars of that batch in one task). Datasets are dealt to `buckets` by hash, and a bucket is one
+group of the stream: a call and its frames cost about the same for a bar as for hundreds. NaN becomes null on the way; rules treat both alike.
 """
 
 from __future__ import annotations
@@ -26,14 +27,19 @@ from tickvet.operators.rules import RowRule, bar_missing, hit, split_evidence, s
 from tickvet.operators.tables import BARS
 
 BEFORE = "p_close double, p_volume double, p_t long, p_raw string, p_seq int, run_n long, run_seq int, run_raw string, run_traded int"
-STATE = f"next long, {BEFORE}, held string"
+STATE = "datasets string"  # JSON: of each dataset of a bucket its id, the next seq, NAMES of its last bar, and the bars that wait
 NAMES = [c.split()[0] for c in BEFORE.split(", ")]
 BAR_NAMES = [c.split()[0] for c in BARS.split(", ")]
+BUCKETS = 1 << 14
 
 
-def _rows(frame: pd.DataFrame) -> list[dict]:
-    rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
-    return [{**r, "seq": None if r["seq"] is None else int(r["seq"]), "t": None if r["t"] is None else int(r["t"])} for r in rows]
+def _rows(frame: pd.DataFrame) -> Iterator[tuple]:
+    """The values of BAR_NAMES by row; what is null or NaN is None."""
+    columns = [[None if v is None or v != v else v for v in frame[c].tolist()] for c in BAR_NAMES]
+    for c in ("seq", "t"):
+        at = BAR_NAMES.index(c)
+        columns[at] = [None if v is None else int(v) for v in columns[at]]
+    return zip(*columns, strict=True)
 
 
 def _follow(last: dict, bar: dict) -> dict:
@@ -46,41 +52,54 @@ def _follow(last: dict, bar: dict) -> dict:
 
 def _in_order(most_held: int) -> Callable:
     def each(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, *before, held = state.get if state.exists else (0, *[None] * len(NAMES), "[]")
-        last, held = dict(zip(NAMES, before, strict=True)), {r["seq"]: r for r in json.loads(held)}
+        known = {ds: [following, dict(zip(NAMES, before, strict=True)), {r[0]: (ds, *r) for r in held}] for ds, following, before, held in json.loads(state.get[0])} if state.exists else {}
 
-        def ready(give_up: bool) -> Iterator[dict]:
-            nonlocal following, last
+        def ready(of: list, give_up: bool) -> Iterator[tuple]:
+            following, last, held = of
             while held:
                 if following not in held:
                     if not give_up or len(held) <= most_held:
-                        return
+                        break
                     following = min(held)
                 bar = held.pop(following)
-                after = _follow(last, bar)
-                yield {**bar, **{k: last[k] for k in NAMES[:5]}, **{k: after[k] for k in NAMES[5:]}, "late": False}
+                after = _follow(last, dict(zip(BAR_NAMES, bar, strict=True)))
+                yield (*bar, *(last[k] for k in NAMES[:5]), *(after[k] for k in NAMES[5:]), False)
                 last, following = after, following + 1
+            of[:2] = following, last
 
-        def out(rows: list[dict]) -> pd.DataFrame:
+        def out(rows: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame(rows, columns=[*BAR_NAMES, *NAMES, "late"], dtype=object)
 
+        came: set[str | None] = set()
         for frame in frames:
-            done = []
+            done, here = [], set()
             for r in _rows(frame):
-                if r["seq"] is None or r["seq"] < following or r["seq"] in held:
-                    done.append({**r, **dict.fromkeys(NAMES), "late": True})
+                ds, seq = r[:2]
+                if ds not in known:
+                    known[ds] = [0, dict.fromkeys(NAMES), {}]
+                following, _, held = known[ds]
+                if seq is None or seq < following or seq in held:
+                    done.append((*r, *[None] * len(NAMES), True))
                 else:
-                    held[r["seq"]] = r
-            yield out([*done, *ready(False)])
-        yield out(list(ready(True)))
-        state.update((following, *(last[k] for k in NAMES), json.dumps(list(held.values()))))
+                    held[seq] = r
+                    here.add(ds)
+            for ds in here:
+                done.extend(ready(known[ds], False))
+            came |= here
+            if done:
+                yield out(done)
+        rest = [r for ds in came for r in ready(known[ds], True)]
+        if rest:
+            yield out(rest)
+        state.update((json.dumps([(ds, following, [last[k] for k in NAMES], [r[1:] for r in held.values()]) for ds, (following, last, held) in known.items()]),))
 
     return each
 
 
-def with_neighbours(bars: DataFrame, most_held: int = 1000) -> DataFrame:
+def with_neighbours(bars: DataFrame, most_held: int = 1000, buckets: int = BUCKETS) -> DataFrame:
     """A stream of bars, each once, with the bar before it (p_*), its return, the run of equal closes up to it (run_*) and late."""
-    got = bars.select(BAR_NAMES).groupBy("dataset_id").applyInPandasWithState(_in_order(most_held), f"{BARS}, {BEFORE}, late boolean", STATE, "append", GroupStateTimeout.NoTimeout)
+    dealt = bars.select(*BAR_NAMES, F.pmod(F.xxhash64("dataset_id"), F.lit(buckets)).alias("bucket"))
+    got = dealt.groupBy("bucket").applyInPandasWithState(_in_order(most_held), f"{BARS}, {BEFORE}, late boolean", STATE, "append", GroupStateTimeout.NoTimeout)
     both = (F.col("close") > 0) & (F.col("p_close") > 0)
     return got.withColumn("ret", F.when(both, F.try_divide(F.col("close"), F.col("p_close")) - 1))
 
