@@ -96,3 +96,17 @@ def test_words_are_counted_in_all_lines(spark):
     steps = linejoin.rarity(docs).first().a
     b = docs.select(F.xxhash64(F.lit("same")).bitwiseAND(F.lit(linejoin.BUCKETS - 1)).alias("b")).first().b
     assert steps[b] == 15 - 32  # floor(2 log2 201)
+
+
+def test_no_text_is_translated_by_character(spark, monkeypatch):
+    """Lines and words are told apart by searching bytes: no step's plan has translate(), which looks each character of all texts up in a map."""
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().lower())
+        return common.materialize(df)
+
+    monkeypatch.setattr(linejoin, "materialize", written)
+    rows = [(1, "a\tb c\rd e\nx"), (2, "a b\tc d E\r"), (3, "a\r\tb c\nE d c b a")]
+    assert _removed(spark.createDataFrame(rows, "doc_id long, text string")) == [(2, 0), (3, 1)]
+    assert any("xxhash64" in p for p in plans) and not any("translate(" in p for p in plans)
