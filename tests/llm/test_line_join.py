@@ -110,3 +110,17 @@ def test_no_text_is_translated_by_character(spark, monkeypatch):
     rows = [(1, "a\tb c\rd e\nx"), (2, "a b\tc d E\r"), (3, "a\r\tb c\nE d c b a")]
     assert _removed(spark.createDataFrame(rows, "doc_id long, text string")) == [(2, 0), (3, 1)]
     assert any("xxhash64" in p for p in plans) and not any("translate(" in p for p in plans)
+
+
+def test_words_are_written_as_one_text(spark, monkeypatch):
+    """The words that pairs are verified on are written, shuffled and sorted as one text a class, not as an array of texts; tabs, carriage returns and empty words are told as ever."""
+    kinds = []
+
+    def written(df):
+        kinds.extend(df.dtypes)
+        return common.materialize(df)
+
+    monkeypatch.setattr(linejoin, "materialize", written)
+    rows = [(1, "\tOne  two\tthree four five\r\nsix seven eight nine ten"), (2, "five four\rthree two one ONE extra\nTEN\tnine eight seven six\t"), (3, "one two three four other words")]
+    assert _removed(spark.createDataFrame(rows, "doc_id long, text string")) == [(2, 0), (2, 1)]
+    assert ("words", "string") in kinds and not any(kind == "array<string>" for _, kind in kinds)
