@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickvet.functions.numbers import scaled
 from tickvet.operators.catalog import CHECK_RULES
 from tickvet.operators.tables import BARS
 from tickvet.plans.derived import ctes, tables
@@ -25,7 +26,7 @@ def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = neighbour_occurrences(bars, t.splits)
     told.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     found = settled(spark.read.schema(told.schema).parquet(sink))
-    return found.select("rule", "dataset_id", "k1", "k2", "severity", "where_date", F.round("value", 6).alias("value"))
+    return found.select("rule", "dataset_id", "k1", "k2", "severity", "where_date", scaled("value", 6).alias("value"))
 
 
 _cols = "(dataset_id, k1, k2, severity, where_date, value)"
