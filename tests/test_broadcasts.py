@@ -16,5 +16,6 @@ def test_no_table_is_broadcast(spark, monkeypatch):
 
     monkeypatch.setattr(engine, "written", spied)
     monkeypatch.setattr(tables, "written", spied)
-    engine.check(derived.tables(spark, "/root/testdata/sf0.001"), CONFIG)
+    reports, _ = engine.check(derived.tables(spark, "/root/testdata/sf0.001"), CONFIG)
     assert len(plans) > 4 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert "BroadcastHashJoin" not in reports._jdf.queryExecution().executedPlan().toString()
